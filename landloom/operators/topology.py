@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rings as R
+from ..session import cut_lineage
 from .spatial import box_pairs, distinct_shapes
 
 # Fixed value: five centimetres in degrees.
@@ -299,25 +300,18 @@ def make_valid(parcels: DataFrame, key: str = "parcel_id") -> DataFrame:
     return good.unionByName(fixed.select(key, "part_no", R.unflat_rings(F.col("flat")).alias("rings"), F.lit(True).alias("repaired")))
 
 
-def _neighbour_shapes(parcels: DataFrame, priority: str | None, tol: float) -> DataFrame:
-    """(parcel_id, neighbour rings and box) for every parcel and distinct shape that may act on it.
-
-    With a priority column only shapes owned by a parcel of lower value act. Pairs are found between
-    distinct shapes and then handed to the members of the target shape."""
-    owner = priority or "parcel_id"
-    shapes = distinct_shapes(parcels, owner)
-    pairs = box_pairs(shapes, tol, ["rings", "first_priority"]).select(
-        F.col("a.shape_id").alias("shape_id"), F.col("b.rings").alias("n_rings"), F.col("b.first_priority").alias("n_priority"),
-        *[F.col(f"b.{c}").alias(f"n_{c}") for c in ("minx", "miny", "maxx", "maxy")])
-    members = parcels.select("parcel_id", F.col(owner).alias("_own"), "rings").join(
-        shapes.select("rings", "shape_id", "members", "first_priority"), "rings").select(
-        "parcel_id", "_own", "shape_id",
-        ((F.col("members") > 1) if priority is None else (F.col("first_priority") < F.col("_own"))).alias("covered"))
-    out = members.join(pairs, "shape_id", "left")
-    acts = F.col("n_rings").isNotNull()
+def _shape_pairs(parcels: DataFrame, priority: str | None, tol: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct shapes, and the pairs (shape, acting neighbour shape) between them.
+
+    A neighbour acts when it is sound and, with a priority, when its owner's value is lower. The pairs are
+    written once to the shared folder: counting, listing and tiling then read them instead of joining again."""
+    shapes = distinct_shapes(parcels, priority or "parcel_id").withColumn("sound", F.forall("rings", R.is_simple))
+    near = box_pairs(shapes, tol, ["rings", "first_priority", "sound"]).filter(F.col("b.sound"))
     if priority is not None:
-        acts = acts & (F.col("n_priority") < F.col("_own"))
-    return out.withColumn("acts", acts)
+        near = near.filter(F.col("b.first_priority") < F.col("a.first_priority"))
+    pairs = near.select(F.col("a.shape_id").alias("shape_id"), F.col("b.shape_id").alias("n_id"), F.col("b.rings").alias("n_rings"),
+                        *[F.col(f"b.{c}").alias(f"n_{c}") for c in ("minx", "miny", "maxx", "maxy")])
+    return shapes, cut_lineage(pairs)
 
 
 def clean_topology(parcels: DataFrame, tol: float = TOLERANCE_DEG, priority: str | None = None,
@@ -326,77 +320,69 @@ def clean_topology(parcels: DataFrame, tol: float = TOLERANCE_DEG, priority: str
 
     Without ``priority`` each parcel is cleaned against all others as they are stored, which answers the
     per-parcel question for the whole table. With it the overlap of two parcels goes to the lower value,
-    so one pass leaves no overlap behind. A parcel fully covered by others stays as it is. ``keep``:
-    ``largest`` part or ``all`` parts. Result: parcel_id, part_no, rings, area_sqm, n_blockers."""
-    # The repaired outline is what gets cut; its largest part stands for the parcel.
-    work = _valid_outlines(parcels, priority)
-    acting = _neighbour_shapes(work, priority, tol)
-    per_target = acting.groupBy("parcel_id").agg(
-        F.max("covered").alias("covered"), F.count_if(F.col("acts")).alias("n_blockers"),
-    )
-    target = work.select("parcel_id", "rings", "minx", "miny", "maxx", "maxy").join(per_target, "parcel_id")
-    side = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n_blockers") / float(TILE_NEIGHBOURS)))).cast("int")
-    target = target.withColumn("side", side)
-    small = target.filter("side = 1")
-    crowded = target.filter("side > 1")
-    acts = acting.filter("acts")
-    lists = acts.join(small.select("parcel_id"), "parcel_id").groupBy("parcel_id").agg(
-        F.collect_list(R.flat_rings(F.col("n_rings"))).alias("near"))
-    rows = small.join(lists, "parcel_id", "left").select(
-        "parcel_id", "n_blockers", "covered", R.flat_rings(F.col("rings")).alias("flat"), "near")
-    untouched = F.col("near").isNull() | F.col("covered")
+    so one pass leaves no overlap behind. A parcel fully covered by others stays as it is, so of a group of
+    copies only the first can change. ``keep``: ``largest`` part or ``all`` parts.
+    Result: parcel_id, part_no, rings, area_sqm, n_blockers."""
+    shapes, pairs = _shape_pairs(parcels, priority, tol)
+    counts = pairs.groupBy("shape_id").agg(F.count("*").alias("n_blockers"))
+    todo = shapes.join(counts, "shape_id", "left").na.fill(0, ["n_blockers"])
+    free = F.lit(True) if priority is not None else F.col("members") == 1
+    todo = todo.filter(free & ((F.col("n_blockers") > 0) | ~F.col("sound")))
     key_type = dict(parcels.dtypes)["parcel_id"]
-    schema = f"parcel_id {key_type}, n_blockers bigint, parts {_FLAT_PARTS}"
+    schema = f"shape_id {key_type}, n_blockers bigint, parts {_FLAT_PARTS}"
     keep_all = keep == "all"
+    has_crowd = bool(counts.filter(F.col("n_blockers") > TILE_NEIGHBOURS).limit(1).collect())
+    small = todo.filter(F.col("n_blockers") <= TILE_NEIGHBOURS) if has_crowd else todo
+    use = pairs.join(small.select("shape_id"), "shape_id", "left_semi") if has_crowd else pairs
+    lists = use.groupBy("shape_id").agg(F.collect_list(R.flat_rings(F.col("n_rings"))).alias("near"))
+    rows = small.join(lists, "shape_id", "left").select("shape_id", "n_blockers", R.flat_rings(F.col("rings")).alias("flat"), "near")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             done = []
             for flat, near in zip(pdf["flat"], pdf["near"]):
-                near = [_as_lists(n) for n in near]
-                parts = subtract(_as_lists(flat), near, keep_all)
-                parts = [_finish(p, near, tol) for p in parts]
-                done.append([[np.asarray(r, dtype=float) for r in p] for p in parts])
-            yield pd.DataFrame({"parcel_id": pdf["parcel_id"], "n_blockers": pdf["n_blockers"], "parts": done})
-
-    cleaned = rows.filter(~untouched).select("parcel_id", "n_blockers", "flat", "near").mapInPandas(cut, schema)
-    plain = rows.filter(untouched).select("parcel_id", "n_blockers", F.array("flat").alias("parts"))
-    result = cleaned.unionByName(plain).unionByName(_clean_crowded(crowded, acts, tol, keep_all, schema))
-    return (result.select("parcel_id", "n_blockers", F.posexplode("parts").alias("part_no", "flat"))
+                near = [_as_lists(n) for n in near] if near is not None else []
+                done.append(_clean_one(_as_lists(flat), near, tol, keep_all))
+            yield pd.DataFrame({"shape_id": pdf["shape_id"], "n_blockers": pdf["n_blockers"], "parts": done})
+
+    cleaned = rows.mapInPandas(cut, schema)
+    if has_crowd:
+        crowded = todo.filter(F.col("n_blockers") > TILE_NEIGHBOURS)
+        cleaned = cleaned.unionByName(_clean_crowded(crowded, pairs, tol, keep_all, schema))
+    out = parcels.select("parcel_id", "rings").join(cleaned, F.col("parcel_id") == F.col("shape_id"), "left")
+    return (out.select("parcel_id", F.coalesce("n_blockers", F.lit(0)).alias("n_blockers"),
+                       F.posexplode(F.coalesce("parts", F.array(R.flat_rings(F.col("rings"))))).alias("part_no", "flat"))
             .withColumn("rings", R.unflat_rings(F.col("flat"))).drop("flat")
             .withColumn("area_sqm", R.area_sqm(F.col("rings"))))
 
 
-def _valid_outlines(parcels: DataFrame, priority: str | None) -> DataFrame:
-    from .aggregates import largest_part
-
-    cols = ["parcel_id"] + ([priority] if priority and priority != "parcel_id" else [])
-    sound = F.forall("rings", R.is_simple)
-    good = parcels.filter(sound).select(*cols, "rings", "minx", "miny", "maxx", "maxy")
-    bad = parcels.filter(~sound)
-    fixed = largest_part(make_valid(bad)).select("parcel_id", "rings")
-    fixed = R.with_bbox(bad.select(*cols).join(fixed, "parcel_id"))
-    return good.unionByName(fixed)
+def _clean_one(flat, near, tol, keep_all):
+    """Repair, cut and snap one polygon against its neighbours."""
+    whole = flat if all(_simple(r) for r in flat) else (repair(flat) or [flat])[0]
+    parts = [_finish(p, near, tol) for p in subtract(whole, near, keep_all)]
+    return [[np.asarray(r, dtype=float) for r in p] for p in parts]
 
 
 def _finish(rings, near, tol):
     snapped = snap(rings, [r for n in near for r in n], tol)
-    if all(_simple(r) for r in snapped):
+    if snapped is rings or all(_simple(r) for r in snapped):
         return snapped
     fixed = repair(snapped)
     return fixed[0] if fixed else rings
 
 
-def _clean_crowded(crowded: DataFrame, acts: DataFrame, tol: float, keep_all: bool, schema: str) -> DataFrame:
+def _clean_crowded(crowded: DataFrame, pairs: DataFrame, tol: float, keep_all: bool, schema: str) -> DataFrame:
     """Targets with very many neighbours: one task per tile of the target, then one light task per
     target that only strings the boundary pieces together (as much data as the result row holds)."""
+    side = F.ceil(F.sqrt(F.col("n_blockers") / float(TILE_NEIGHBOURS))).cast("int")
+    crowded = crowded.select("shape_id", "n_blockers", "rings", "minx", "miny", "maxx", "maxy", side.alias("side"))
     w = (F.col("maxx") - F.col("minx")) / F.col("side")
     h = (F.col("maxy") - F.col("miny")) / F.col("side")
     # The last tile reaches past the edge so that pieces on the border fall inside.
     tiles = crowded.withColumn("ix", F.explode(F.sequence(F.lit(0), F.col("side") - 1))).withColumn(
         "iy", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
     tiles = tiles.select(
-        "parcel_id", "n_blockers", "covered", "ix", "iy", R.flat_rings(F.col("rings")).alias("flat"),
+        "shape_id", "n_blockers", "ix", "iy", R.flat_rings(F.col("rings")).alias("flat"),
         F.array(F.when(F.col("ix") == 0, F.col("minx") - w).otherwise(F.col("minx") + F.col("ix") * w),
                 F.when(F.col("iy") == 0, F.col("miny") - h).otherwise(F.col("miny") + F.col("iy") * h),
                 F.when(F.col("ix") == F.col("side") - 1, F.col("maxx") + w).otherwise(F.col("minx") + (F.col("ix") + 1) * w),
@@ -405,10 +391,10 @@ def _clean_crowded(crowded: DataFrame, acts: DataFrame, tol: float, keep_all: bo
     def index(v, low, step):
         return F.least(F.greatest(F.floor((v - low) / step), F.lit(0)), F.col("side") - 1).cast("int")
 
-    near = acts.join(crowded.select("parcel_id", "minx", "miny", "maxx", "maxy", "side"), "parcel_id")
+    near = pairs.join(crowded.select("shape_id", "minx", "miny", "maxx", "maxy", "side"), "shape_id")
     near = near.withColumn("ix", F.explode(F.sequence(index(F.col("n_minx") - tol, F.col("minx"), w), index(F.col("n_maxx") + tol, F.col("minx"), w))))
     near = near.withColumn("iy", F.explode(F.sequence(index(F.col("n_miny") - tol, F.col("miny"), h), index(F.col("n_maxy") + tol, F.col("miny"), h))))
-    lists = near.groupBy("parcel_id", "ix", "iy").agg(F.collect_list(R.flat_rings(F.col("n_rings"))).alias("near"))
+    lists = near.groupBy("shape_id", "ix", "iy").agg(F.collect_list(R.flat_rings(F.col("n_rings"))).alias("near"))
     key_type = schema.split(",")[0].split()[1]
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -419,12 +405,12 @@ def _clean_crowded(crowded: DataFrame, acts: DataFrame, tol: float, keep_all: bo
                 seg = boundary(_as_lists(flat), close, tuple(win))
                 segs.append(seg.ravel())
                 refs.append(_refs_near(seg, close, tol))
-            yield pd.DataFrame({"parcel_id": pdf["parcel_id"], "seg": segs, "refs": refs})
+            yield pd.DataFrame({"shape_id": pdf["shape_id"], "seg": segs, "refs": refs})
 
-    cut = (tiles.filter(~F.col("covered")).join(lists, ["parcel_id", "ix", "iy"], "left")
-           .select("parcel_id", "flat", "near", "win")
-           .mapInPandas(pieces, f"parcel_id {key_type}, seg array<double>, refs array<double>"))
-    gathered = cut.groupBy("parcel_id").agg(F.flatten(F.collect_list("seg")).alias("seg"), F.flatten(F.collect_list("refs")).alias("refs"))
+    cut = (tiles.join(lists, ["shape_id", "ix", "iy"], "left")
+           .select("shape_id", "flat", "near", "win")
+           .mapInPandas(pieces, f"shape_id {key_type}, seg array<double>, refs array<double>"))
+    gathered = cut.groupBy("shape_id").agg(F.flatten(F.collect_list("seg")).alias("seg"), F.flatten(F.collect_list("refs")).alias("refs"))
 
     def string(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -436,12 +422,10 @@ def _clean_crowded(crowded: DataFrame, acts: DataFrame, tol: float, keep_all: bo
                 parts = parts if keep_all else parts[:1]
                 near = [[np.asarray(refs, dtype=float)]] if refs is not None and len(refs) else []
                 done.append([[np.asarray(r, dtype=float) for r in _finish(p, near, tol)] for p in parts])
-            yield pd.DataFrame({"parcel_id": pdf["parcel_id"], "n_blockers": pdf["n_blockers"], "parts": done})
+            yield pd.DataFrame({"shape_id": pdf["shape_id"], "n_blockers": pdf["n_blockers"], "parts": done})
 
-    free = (crowded.filter(~F.col("covered")).join(gathered, "parcel_id", "left")
-            .select("parcel_id", "n_blockers", R.flat_rings(F.col("rings")).alias("flat"), "seg", "refs").mapInPandas(string, schema))
-    kept = crowded.filter("covered").select("parcel_id", "n_blockers", F.array(R.flat_rings(F.col("rings"))).alias("parts"))
-    return free.unionByName(kept)
+    return (crowded.join(gathered, "shape_id", "left")
+            .select("shape_id", "n_blockers", R.flat_rings(F.col("rings")).alias("flat"), "seg", "refs").mapInPandas(string, schema))
 
 
 def _refs_near(seg, near, tol):
@@ -462,18 +446,27 @@ def difference(parcels: DataFrame, keep: str = "largest") -> DataFrame:
 
 
 def snap_parcels(parcels: DataFrame, tol: float = TOLERANCE_DEG) -> DataFrame:
-    """Each parcel snapped to the stored vertices of parcels within ``tol``, without cutting."""
-    acting = _neighbour_shapes(parcels, None, tol).filter("acts")
-    lists = acting.groupBy("parcel_id").agg(F.collect_list(R.flat_rings(F.col("n_rings"))).alias("near"))
-    rows = parcels.select("parcel_id", R.flat_rings(F.col("rings")).alias("flat")).join(lists, "parcel_id", "left")
+    """Each parcel snapped to the stored vertices of parcels within ``tol``, without cutting.
+
+    Only neighbour vertices that lie within ``tol`` of the parcel's own edges are gathered, so a group
+    is never larger than its outline can take up."""
+    sound = F.forall("rings", R.is_simple)
+    pairs = box_pairs(parcels.select(F.col("parcel_id").alias("shape_id"), "rings", "minx", "miny", "maxx", "maxy", sound.alias("sound")),
+                      tol, ["rings", "sound"]).filter(F.col("b.sound"))
+    acting = pairs.select(F.col("a.shape_id").alias("parcel_id"), F.col("a.rings").alias("rings"), F.col("b.rings").alias("n_rings"))
+
+    def reach(p):
+        return F.array_min(F.transform(R.all_edges(F.col("rings")), lambda e: R.point_segment_distance(p["x"], p["y"], e))) <= tol
+
+    refs = acting.select("parcel_id", F.explode(F.filter(R.all_points(F.col("n_rings")), reach)).alias("v")).groupBy("parcel_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_set("v")), lambda v: F.array(v["x"], v["y"]))).alias("near"))
+    rows = parcels.select("parcel_id", R.flat_rings(F.col("rings")).alias("flat")).join(refs, "parcel_id", "left")
     key_type = dict(parcels.dtypes)["parcel_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            done = []
-            for flat, near in zip(pdf["flat"], pdf["near"]):
-                refs = [r for n in near for r in _as_lists(n)]
-                done.append([np.asarray(r, dtype=float) for r in snap(_as_lists(flat), refs, tol)])
+            done = [[np.asarray(r, dtype=float) for r in snap(_as_lists(flat), [np.asarray(near, dtype=float)], tol)]
+                    for flat, near in zip(pdf["flat"], pdf["near"])]
             yield pd.DataFrame({"parcel_id": pdf["parcel_id"], "flat": done})
 
     moved = rows.filter("near is not null").mapInPandas(run, f"parcel_id {key_type}, flat array<array<double>>")
