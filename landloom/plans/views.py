@@ -17,7 +17,7 @@ SELECT i AS parcel_id, CASE WHEN i % 7 = 0 THEN concat(CAST(100 + i AS STRING),
 FROM (SELECT c.c_custkey AS i, c.c_name AS owner_name, n.n_name AS village, r.r_name AS district,
   CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'DRAFT' WHEN 'BUILDING' THEN 'ALIGNED_DRAFT' WHEN 'FURNITURE' THEN 'TOPOLOGY_CLEANED'
     WHEN 'HOUSEHOLD' THEN 'ULPIN_ASSIGNED' ELSE 'PUBLISHED' END AS alignment_status,
-  round((c.c_acctbal + 1.0e3) / 1.1e4, 4) AS alignment_confidence,
+  round((c.c_acctbal + 1.0e3) / 1.1e4, 6) AS alignment_confidence,
   80.9010e0 + (c.c_custkey % 40) * 1.0e-3 + CASE WHEN c.c_custkey % 5 = 1 THEN -4.5e-7 WHEN c.c_custkey % 5 = 3 THEN 2.7e-7 ELSE 0e0 END AS x0,
   26.7605e0 + floor(c.c_custkey / 40) * 1.2e-3 AS y0
  FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey) t""",
@@ -40,10 +40,10 @@ SELECT l_suppkey AS tile_id, l_orderkey * 10 + l_linenumber AS px_id, CAST((l_pa
   CAST((l_partkey + l_orderkey * 3) % 256 AS INT) AS b, l_linestatus = 'O' AS in_mask FROM {lineitem}""",
     # Plots drawn on a sheet: one per line of an order, as pixel boxes on a 1200 x 900 canvas.
     "plots": """
-SELECT l_suppkey AS sheet_id, l_orderkey * 10 + l_linenumber AS plot_no, CAST((l_partkey * 37) % 1150 AS DOUBLE) AS x, CAST((l_orderkey * 17 + l_linenumber * 101) % 850 AS DOUBLE) AS y,
+SELECT l_suppkey AS sheet_id, (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey AS plot_no, CAST((l_partkey * 37) % 1150 AS DOUBLE) AS x, CAST((l_orderkey * 17 + l_linenumber * 101) % 850 AS DOUBLE) AS y,
   CAST(12 + l_partkey % 60 AS DOUBLE) AS bw, CAST(10 + l_orderkey % 50 AS DOUBLE) AS bh,
-  round(l_extendedprice / 4.0e1, 1) AS area_px, CAST(3 + l_linenumber % 4 AS INT) AS n_vertices,
-  round(5.0e1 + l_quantity - 2.0e2 * l_discount, 1) AS confidence_score, round(l_extendedprice / 2.0e1, 1) AS area_sqm,
+  l_extendedprice / 4.0e1 AS area_px, CAST(3 + l_linenumber % 4 AS INT) AS n_vertices,
+  round(5.0e1 + l_quantity - 2.0e2 * l_discount, 1) AS confidence_score, l_extendedprice / 2.0e1 AS area_sqm,
   CASE WHEN l_returnflag = 'A' THEN 'green' WHEN l_returnflag = 'R' THEN 'red' ELSE 'orange' END AS status_color FROM {lineitem}""",
 }
 

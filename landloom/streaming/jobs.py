@@ -87,12 +87,19 @@ class DraftProcessor(StatefulProcessor):
 DRAFT_OUT = "parcel_id bigint, event_id bigint, ts timestamp, value double, live boolean"
 
 
+def _newest_per_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Map-side combine: only the newest event of a parcel in each Arrow chunk goes on to the state."""
+    for pdf in batches:
+        yield pdf.sort_values(["ts", "event_id"]).drop_duplicates("parcel_id", keep="last")
+
+
 def draft_changes(events: DataFrame) -> DataFrame:
     """Draft state per parcel after each batch that mentions it. ``events``: parcel_id, event_id, ts,
     action (DRAFT_PUT / DRAFT_DISCARD count), value."""
     e = events.filter(F.col("action").isin("DRAFT_PUT", "DRAFT_DISCARD")).select(
         "parcel_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "action", "value")
-    return e.groupBy("parcel_id").transformWithStateInPandas(
+    thin = e.mapInPandas(_newest_per_chunk, e.schema)
+    return thin.groupBy("parcel_id").transformWithStateInPandas(
         statefulProcessor=DraftProcessor(), outputStructType=DRAFT_OUT, outputMode="update", timeMode="none")
 
 
@@ -144,78 +151,50 @@ def run_progress(stream: DataFrame, totals: DataFrame) -> DataFrame:
 
 # ---- approvals -----------------------------------------------------------------------------------
 
-class FirstActionProcessor(StatefulProcessor):
-    """Opens a request at a parcel's first submission and closes it with the first action at or after it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.submitted = handle.getValueState("submitted", "event_id bigint, ts timestamp")
-        self.acted = handle.getValueState("acted", "event_id bigint, ts timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        sub = self.submitted.get() if self.submitted.exists() else None
-        act = self.acted.get() if self.acted.exists() else None
-        if act is not None:
-            for _ in rows:
-                pass
-            return
-        first_sub = None if sub is None else (pd.Timestamp(sub[1]), sub[0])
-        waiting = []
-        for pdf in rows:
-            s = pdf[pdf["action"] == "SUBMIT"]
-            if len(s):
-                top = s.sort_values(["ts", "event_id"]).iloc[0]
-                k = (top["ts"], int(top["event_id"]))
-                first_sub = k if first_sub is None or k < first_sub else first_sub
-            a = pdf.loc[pdf["action"] == "APPROVE", ["ts", "event_id"]]
-            if len(a):
-                waiting.append(a)
-        if first_sub is None:
-            return
-        if sub is None:
-            self.submitted.update((first_sub[1], first_sub[0].to_pydatetime()))
-        first_act = None
-        for a in waiting:
-            later = a[(a["ts"] > first_sub[0]) | ((a["ts"] == first_sub[0]) & (a["event_id"] > first_sub[1]))]
-            if len(later):
-                top = later.sort_values(["ts", "event_id"]).iloc[0]
-                k = (top["ts"], int(top["event_id"]))
-                first_act = k if first_act is None or k < first_act else first_act
-        if first_act is not None:
-            self.acted.update((first_act[1], first_act[0].to_pydatetime()))
-        yield pd.DataFrame({"parcel_id": [key[0]], "submitted_id": [first_sub[1]], "submitted_at": [first_sub[0]],
-                            "action_id": pd.array([first_act[1] if first_act else None], dtype="Int64"),
-                            "acted_at": [first_act[0] if first_act else pd.NaT]})
-
-    def close(self) -> None:
-        pass
-
-
-APPROVAL_OUT = "parcel_id bigint, submitted_id bigint, submitted_at timestamp, action_id bigint, acted_at timestamp"
-
-
-def approval_changes(events: DataFrame, parcels: DataFrame) -> DataFrame:
-    """First submission and first later action per known parcel, as state over the event stream."""
-    e = events.filter(F.col("action").isin("SUBMIT", "APPROVE")).select(
-        "parcel_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "action")
-    known = e.join(parcels.select("parcel_id"), "parcel_id")
-    return known.groupBy("parcel_id").transformWithStateInPandas(
-        statefulProcessor=FirstActionProcessor(), outputStructType=APPROVAL_OUT, outputMode="update", timeMode="none")
-
-
-def approval_state(events: DataFrame, parcels: DataFrame) -> DataFrame:
-    """Batch twin of the approval stream."""
-    e = events.filter(F.col("action").isin("SUBMIT", "APPROVE")).join(parcels.select("parcel_id"), "parcel_id", "left_semi")
+def _merge_approvals(state: DataFrame | None, e: DataFrame) -> DataFrame:
+    """Approval state after one more batch of SUBMIT/APPROVE events. Only aggregates meet the state, so a
+    parcel with very many events is reduced inside the tasks that read them."""
     k = F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id")
     sub = e.filter("action = 'SUBMIT'").groupBy("parcel_id").agg(F.min(k).alias("s"))
+    if state is not None:
+        old = state.select("parcel_id", F.struct(F.col("submitted_at").alias("ts"), F.col("submitted_id").alias("event_id")).alias("s"))
+        sub = old.unionByName(sub).groupBy("parcel_id").agg(F.min("s").alias("s"))
     act = e.filter("action = 'APPROVE'").withColumn("k", k).join(sub, "parcel_id").filter(F.col("k") > F.col("s")).groupBy("parcel_id").agg(F.min("k").alias("a"))
+    if state is not None:
+        old = state.filter("action_id is not null").select("parcel_id", F.struct(F.col("acted_at").alias("ts"), F.col("action_id").alias("event_id")).alias("a"))
+        act = old.unionByName(act).groupBy("parcel_id").agg(F.min("a").alias("a"))
     return sub.join(act, "parcel_id", "left").select(
         "parcel_id", F.col("s.event_id").alias("submitted_id"), F.col("s.ts").alias("submitted_at"),
         F.col("a.event_id").alias("action_id"), F.col("a.ts").alias("acted_at"))
 
 
+def _docket_events(events: DataFrame, parcels: DataFrame) -> DataFrame:
+    return events.filter(F.col("action").isin("SUBMIT", "APPROVE")).select("parcel_id", "event_id", "ts", "action").join(
+        parcels.select("parcel_id"), "parcel_id")
+
+
+def approval_state(events: DataFrame, parcels: DataFrame) -> DataFrame:
+    """First submission of each known parcel and the first action after it."""
+    return _merge_approvals(None, _docket_events(events, parcels))
+
+
 def run_approvals(stream: DataFrame, parcels: DataFrame) -> DataFrame:
-    out = run_to_table(approval_changes(stream, parcels), "update", "approvals")
-    return out.groupBy("parcel_id").agg(F.max_by(F.struct("submitted_id", "submitted_at", "action_id", "acted_at"), "batch_no").alias("l")).select("parcel_id", "l.*")
+    """The same as a stream joined to the parcel table. Each micro-batch merges into a new snapshot of the
+    state, in a folder of its own, so a replayed batch writes the same snapshot again.
+
+    An action counts once its submission has arrived; out-of-order events across batches settle on the
+    earliest submission seen so far."""
+    spark = stream.sparkSession
+    out = run_dir(spark, "approvals")
+    last = {"path": None}
+
+    def write(df: DataFrame, batch: int) -> None:
+        state = spark.read.parquet(f"{out}/batch_no={batch - 1}") if batch > 0 else None
+        _merge_approvals(state, df).write.mode("overwrite").parquet(f"{out}/batch_no={batch}")
+        last["path"] = f"{out}/batch_no={batch}"
+
+    run_available(_docket_events(stream, parcels), "append", write, "approvals")
+    return spark.read.parquet(last["path"]) if last["path"] else approval_state(parcels.sparkSession.createDataFrame([], stream.schema), parcels)
 
 
 # ---- audit ledger --------------------------------------------------------------------------------
