@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import rings as R
 from ..functions.projection import apply_affine, project_point
 from ..functions.scores import alignment_confidence, transform_ok_automatic, transform_ok_manual
+from ..session import cut_lineage, spread
 
 # Match minima, inlier limits and the structural search grid.
 ENGINE_LIMITS = {"min_matches": 10, "threshold": 5.0}
@@ -27,6 +28,8 @@ RIDGE = 1e-6
 TPS_LIMIT = 2048
 # Matches drawn as minimal samples per sheet.
 HYPOTHESES = 256
+# Samples that reach the vote over all matches, picked by their votes within the drawn matches.
+FINALISTS = 8
 
 
 # ---- affine and offset fits ----------------------------------------------------------------------
@@ -104,7 +107,7 @@ def fit_tps(gcps: DataFrame, key: str = "sheet_id") -> DataFrame:
         return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [len(pdf)], "method": ["thin_plate_spline"],
                              "plane": [plane.T.ravel()], "knots": [np.hstack([src, w]).ravel()]})
 
-    splines = dense.groupBy(key).applyInPandas(solve, f"{key} {key_type}, n bigint, method string, plane array<double>, knots array<double>")
+    splines = spread(dense, key).groupBy(key).applyInPandas(solve, f"{key} {key_type}, n bigint, method string, plane array<double>, knots array<double>")
     other = fit_affine(gcps, key).filter(~F.col("n").between(3, TPS_LIMIT)).select(
         key, "n", "method", F.array("m.tx", "m.a", "m.b", "m.ty", "m.c", "m.d").alias("plane"),
         F.array().cast("array<double>").alias("knots"))
@@ -143,7 +146,7 @@ def apply_tps(points: DataFrame, fits: DataFrame, key: str = "sheet_id", x: str
             wy[k] += kern @ q[:, 3]
         return out.assign(wx=wx, wy=wy)
 
-    return dealt.groupBy(key, "_blk").cogroup(coef.groupBy(key, "_blk")).applyInPandas(warp, schema)
+    return spread(dealt, key, "_blk").groupBy(key, "_blk").cogroup(spread(coef, key, "_blk").groupBy(key, "_blk")).applyInPandas(warp, schema)
 
 
 # ---- descriptor matching -------------------------------------------------------------------------
@@ -235,9 +238,10 @@ def fit_robust(matches: DataFrame, min_matches: int = SHEET_LIMITS["min_matches"
     matches, inliers, rmse_px. Sheets below ``min_matches`` come back with a null h and rmse 999.
 
     ``matches``: sheet, match_id, sx, sy, tx, ty. The minimal samples are the matches of lowest hash,
-    so the result does not depend on partitioning. Agreement is counted over all matches as a join and a
-    partial aggregate; the refit uses sums of normal-equation terms. Only the samples of a sheet
-    (4 · hypotheses rows) and its 45 sums ever meet in one task."""
+    so the result does not depend on partitioning. They vote among themselves first; the finalists are
+    then voted on by all matches, as a join and a partial aggregate, and the winner is refitted from sums
+    of normal-equation terms. Only the samples of a sheet (4 · hypotheses rows) and its 45 sums ever meet
+    in one task."""
     m = matches.select(key, "match_id", *[F.col(c).cast("double").alias(c) for c in ("sx", "sy", "tx", "ty")])
     counts = m.groupBy(key).agg(F.count("*").alias("matches"))
     ready = counts.filter(F.col("matches") >= min_matches)
@@ -260,28 +264,41 @@ def fit_robust(matches: DataFrame, min_matches: int = SHEET_LIMITS["min_matches"
         picks = picks[area > 1e-9 * max(1.0, float(np.ptp(src, axis=0).max()) ** 2)]
         h = homography_from(src[picks], dst[picks]) if len(picks) else np.empty((0, 9))
         h = h[np.isfinite(h).all(axis=1)]
+        votes = np.array([_agreeing(k, src, dst, threshold) for k in h], dtype=int)
+        h = h[np.argsort(-votes, kind="stable")[:FINALISTS]]
         return pd.DataFrame({key: [pdf[key].iloc[0]], "hs": [list(h)]})
 
-    drawn = pool.groupBy(key).applyInPandas(draw, f"{key} {key_type}, hs array<array<double>>")
+    # One small row per sheet, read by several later steps: written once, as are the winner and the refit.
+    drawn = cut_lineage(spread(pool, key).groupBy(key).applyInPandas(draw, f"{key} {key_type}, hs array<array<double>>"))
 
     def miss2(h):
         u, v = project_point(h, F.col("sx"), F.col("sy"))
         return F.pow(u - F.col("tx"), F.lit(2.0)) + F.pow(v - F.col("ty"), F.lit(2.0))
 
-    tried = (m.join(drawn, key).select(key, "sx", "sy", "tx", "ty", F.posexplode("hs").alias("hyp", "h"))
-             .withColumn("ok", miss2(F.col("h")) <= threshold * threshold)
-             .groupBy(key, "hyp").agg(F.count_if("ok").alias("votes"), F.first("h").alias("h")))
-    best = tried.groupBy(key).agg(F.max_by("h", F.struct("votes", -F.col("hyp"))).alias("h0"), F.max("votes").alias("votes"))
-    inl = m.join(best.filter("votes >= 4"), key).filter(miss2(F.col("h0")) <= threshold * threshold)
-    refit = _refit_homography(inl, key, key_type)
+    # Votes are plain counts, so the exploded rows fold into a hash aggregate in the task that makes them.
+    votes = (m.join(drawn, key).select(key, "sx", "sy", "tx", "ty", F.posexplode("hs").alias("hyp", "h"))
+             .select(key, "hyp", (miss2(F.col("h")) <= threshold * threshold).alias("ok"))
+             .groupBy(key, "hyp").agg(F.count_if("ok").alias("votes")))
+    top = votes.groupBy(key).agg(F.max(F.struct("votes", (-F.col("hyp")).alias("hyp"))).alias("t"))
+    best = cut_lineage(top.filter("t.votes >= 4").join(drawn, key).select(key, F.element_at("hs", 1 - F.col("t.hyp")).alias("h0")))
+    inl = m.join(best, key).filter(miss2(F.col("h0")) <= threshold * threshold).drop("h0")
+    refit = cut_lineage(_refit_homography(inl, key, key_type))
     # Errors and inliers are read off the final transform.
-    good = miss2(F.col("h")) <= threshold * threshold
-    final = m.join(refit, key).groupBy(key).agg(
-        F.first("h").alias("h"), F.count_if(good).alias("inliers"), F.sqrt(F.avg(F.when(good, miss2(F.col("h"))))).alias("rmse_px"))
-    return counts.join(final, key, "left").select(
+    e2 = miss2(F.col("h"))
+    good = F.when(e2 <= threshold * threshold, e2)
+    final = m.join(refit, key).select(key, good.alias("e2")).groupBy(key).agg(F.count("e2").alias("inliers"), F.sqrt(F.avg("e2")).alias("rmse_px"))
+    return counts.join(final, key, "left").join(refit, key, "left").select(
         key, "h", "matches", F.coalesce("inliers", F.lit(0)).alias("inliers"), F.coalesce("rmse_px", F.lit(999.0)).alias("rmse_px"))
 
 
+def _agreeing(h: np.ndarray, src: np.ndarray, dst: np.ndarray, threshold: float) -> int:
+    w = h[6] * src[:, 0] + h[7] * src[:, 1] + h[8]
+    w = np.where(w == 0, 1.0, w)
+    u = (h[0] * src[:, 0] + h[1] * src[:, 1] + h[2]) / w - dst[:, 0]
+    v = (h[3] * src[:, 0] + h[4] * src[:, 1] + h[5]) / w - dst[:, 1]
+    return int(np.count_nonzero(u * u + v * v <= threshold * threshold))
+
+
 def _least_triangle(p: np.ndarray) -> np.ndarray:
     """Smallest doubled triangle area among the four points of each sample."""
     out = np.full(len(p), np.inf)
@@ -335,29 +352,85 @@ def accept_transforms(fits: DataFrame, sheets: DataFrame, manual: bool = False,
 
 # ---- boundary support and structural search ------------------------------------------------------
 
-def boundary_support(plots: DataFrame, footprint: DataFrame, keys: list[str] | None = None) -> DataFrame:
+# Cells of a dense drawing board; larger outlines are drawn cell by cell.
+_BOARD_CELLS = 4_000_000
+
+
+def _outline_pixels(flat) -> np.ndarray:
+    cells = []
+    for r in flat:
+        q = np.asarray(r, dtype=float).reshape(-1, 2)
+        for (ax, ay), (bx, by) in zip(q[:-1].tolist(), q[1:].tolist()):
+            n = max(1, math.ceil(max(abs(bx - ax), abs(by - ay))))
+            t = np.arange(n + 1) / n
+            cells.append(np.floor(np.array([[ax + 0.5], [ay + 0.5]]) + np.array([[bx - ax], [by - ay]]) * t))
+    return np.concatenate(cells, axis=1).astype(np.int64) if cells else np.empty((2, 0), np.int64)
+
+
+def _strip_blocks(flat, reach: int):
+    """Pixels within ``reach`` of a ring's pixels as (block x, block y, 64-bit mask) of 8×8 blocks, and
+    their number. Bit ``8·(x mod 8) + (y mod 8)`` of a mask is the pixel."""
+    x, y = _outline_pixels(flat)
+    if not len(x):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 0
+    x0, y0 = (int(x.min()) - reach) >> 3, (int(y.min()) - reach) >> 3
+    nx, ny = ((int(x.max()) + reach) >> 3) - x0 + 1, ((int(y.max()) + reach) >> 3) - y0 + 1
+    if nx * ny * 64 > _BOARD_CELLS:
+        return _strip_blocks_sparse(x, y, reach)
+    board = np.zeros((nx * 8, ny * 8), dtype=bool)
+    x, y = x - x0 * 8, y - y0 * 8
+    for d in range(-reach, reach + 1):
+        board[x + d, y] = True
+    wide = board.copy()
+    for d in range(1, reach + 1):
+        wide[:, d:] |= board[:, :-d]
+        wide[:, :-d] |= board[:, d:]
+    bits = wide.reshape(nx, 8, ny, 8).transpose(0, 2, 1, 3).reshape(nx * ny, 64)
+    mask = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+    k = np.nonzero(mask)[0]
+    return k // ny + x0, k % ny + y0, mask[k], int(wide.sum())
+
+
+def _strip_blocks_sparse(x, y, reach: int):
+    off = np.arange(-reach, reach + 1)
+    px = np.repeat((x[:, None] + off).ravel(), len(off))
+    py = np.repeat(y, len(off) ** 2) + np.tile(off, len(x) * len(off))
+    code = np.unique((px + (1 << 30)) * (1 << 31) + (py + (1 << 30)))
+    px, py = code // (1 << 31) - (1 << 30), code % (1 << 31) - (1 << 30)
+    key = ((px >> 3) << 32) + ((py >> 3) + (1 << 31))
+    order = np.argsort(key, kind="stable")
+    key, px, py = key[order], px[order], py[order]
+    bit = np.left_shift(np.uint64(1), ((px & 7) * 8 + (py & 7)).astype(np.uint64))
+    first = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+    return px[first] >> 3, py[first] >> 3, np.bitwise_or.reduceat(bit, first).view(np.int64), len(code)
+
+
+def boundary_support(plots: DataFrame, footprint: DataFrame, keys: list[str] | None = None, reach: int = 2) -> DataFrame:
     """Share of a plot's perimeter strip that lies on footprint cells, calibrated to 0.48–0.96
     (0.82 without a strip). ``plots``: sheet_id, plot_no, rings (pixels); ``footprint``: sheet_id, px, py.
 
-    The strip is every pixel within two of a pixel of the outline; its pixels are made distinct inside
-    the row, so only the lookup shuffles."""
+    Both sides travel as 8×8 pixel blocks with a 64-bit mask, so a strip of a thousand pixels costs a
+    few dozen join rows and a hot sheet is spread over its blocks; hits are bit counts."""
     keys = keys or ["sheet_id", "plot_no"]
+    types = dict(plots.dtypes)
+    head = ", ".join(f"{k} {types[k]}" for k in keys)
 
-    def walk(e):
-        steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(e["bx"] - e["ax"]), F.abs(e["by"] - e["ay"]))).cast("int"))
-        return F.transform(F.sequence(F.lit(0), steps), lambda i: F.struct(
-            F.floor(e["ax"] + (e["bx"] - e["ax"]) * i / steps + 0.5).cast("int").alias("px"),
-            F.floor(e["ay"] + (e["by"] - e["ay"]) * i / steps + 0.5).cast("int").alias("py")))
-
-    off = F.sequence(F.lit(-2), F.lit(2))
-    line = F.array_distinct(F.flatten(F.transform(R.all_edges(F.col("rings")), walk)))
-    strip = F.array_distinct(F.flatten(F.flatten(F.transform(line, lambda p: F.transform(off, lambda dx: F.transform(
-        off, lambda dy: F.struct((p["px"] + dx).alias("px"), (p["py"] + dy).alias("py"))))))))
-    cells = plots.select(*keys, F.explode(strip).alias("c")).select(*keys, "c.px", "c.py")
-    seen = footprint.select("sheet_id", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), F.lit(1).alias("hit")).distinct()
-    counted = cells.join(seen, ["sheet_id", "px", "py"], "left").groupBy(*keys).agg(
-        F.count("*").alias("strip_px"), F.count("hit").alias("hit_px"))
-    out = plots.select(*keys).join(counted, keys, "left")
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [_strip_blocks(f, reach) for f in pdf["flat"]]
+            yield pdf[keys].assign(strip_px=[r[3] for r in rows], bx=[r[0] for r in rows], by=[r[1] for r in rows], mask=[r[2] for r in rows])
+
+    strips = plots.select(*keys, R.flat_rings(F.col("rings")).alias("flat")).mapInPandas(
+        draw, f"{head}, strip_px bigint, bx array<bigint>, by array<bigint>, mask array<bigint>")
+    cells = strips.select(*keys, "strip_px", F.explode(F.arrays_zip("bx", "by", "mask")).alias("c")).select(
+        *keys, "strip_px", "c.bx", "c.by", "c.mask")
+    x, y = F.col("px").cast("bigint"), F.col("py").cast("bigint")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.pmod(x, F.lit(8)) * 8 + F.pmod(y, F.lit(8))).cast("int"))
+    seen = footprint.groupBy("sheet_id", F.floor(x / 8).alias("bx"), F.floor(y / 8).alias("by")).agg(F.bit_or(bit).alias("lit"))
+    hits = F.bit_count(F.col("mask").bitwiseAND(F.coalesce("lit", F.lit(0).cast("bigint"))))
+    out = cells.join(seen, ["sheet_id", "bx", "by"], "left").groupBy(*keys).agg(
+        F.max("strip_px").alias("strip_px"), F.sum(hits).alias("hit_px"))
+    out = plots.select(*keys).join(out, keys, "left")
     ratio = F.col("hit_px") / F.col("strip_px")
     return out.select(*keys, F.coalesce("strip_px", F.lit(0)).alias("strip_px"), F.coalesce("hit_px", F.lit(0)).alias("hit_px"),
                       F.coalesce(F.least(F.lit(0.96), F.greatest(F.lit(0.48), 0.58 + ratio * 0.38)), F.lit(0.82)).alias("iou"))
@@ -373,70 +446,96 @@ def sample_by_hash(points: DataFrame, n: int, key: str = "sheet_id") -> DataFram
     return kept.withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= n).select(key, "x", "y")
 
 
-def distance_tiles(edges: DataFrame, tile: int = 256, key: str = "sheet_id") -> DataFrame:
-    """Distance to the nearest reference edge pixel, capped, as one row per tile that has an edge pixel
-    within reach: sheet, ty, tx, field (tile² floats). Absent tiles are at the cap throughout.
+TILE = 512
+
+
+def distance_tiles(edges: DataFrame, tile: int = TILE, key: str = "sheet_id") -> DataFrame:
+    """Squared distance to the nearest reference edge pixel, capped, as one row per tile that has an edge
+    pixel within reach: sheet, ty, tx, field (tile² 16-bit values). Absent tiles are at the cap throughout.
 
     Each edge pixel goes to its tile and to the neighbours its reach covers; a tile holds at most
     (tile + 2·cap)² distinct pixels."""
     reach = int(math.ceil(DISTANCE_CAP))
+    cap2 = int(DISTANCE_CAP ** 2)
     e = edges.select(key, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
 
     def span(c):
         return F.sequence(F.floor((F.col(c) - reach) / tile).cast("int"), F.floor((F.col(c) + reach) / tile).cast("int"))
 
-    spread = e.withColumn("ty", F.explode(span("y"))).withColumn("tx", F.explode(span("x")))
+    reached = e.withColumn("ty", F.explode(span("y"))).withColumn("tx", F.explode(span("x")))
     key_type = dict(edges.dtypes)[key]
 
     def field(pdf: pd.DataFrame) -> pd.DataFrame:
         ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
         side = tile + 2 * reach
-        grid = np.full((side, side), np.inf)
-        grid[pdf["y"].to_numpy() - ty * tile + reach, pdf["x"].to_numpy() - tx * tile + reach] = 0.0
-        # Squared Euclidean distance: along rows first, then the best row within reach.
-        col = np.full((side, side), np.inf)
-        for s in range(-reach, reach + 1):
-            lo, hi = max(0, s), min(side, side + s)
-            np.minimum(col[:, lo:hi], grid[:, lo - s:hi - s] + s * s, out=col[:, lo:hi])
-        out = np.full((tile, tile), np.inf)
-        for s in range(-reach, reach + 1):
-            np.minimum(out, col[reach - s:reach - s + tile, reach:reach + tile] + s * s, out=out)
-        out = np.minimum(np.sqrt(out), DISTANCE_CAP).astype(np.float32)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "ty": [ty], "tx": [tx], "field": [out.ravel()]})
-
-    return spread.groupBy(key, "ty", "tx").applyInPandas(field, f"{key} {key_type}, ty int, tx int, field array<float>")
+        grid = np.full((side, side), cap2, dtype=np.uint16)
+        grid[pdf["y"].to_numpy() - ty * tile + reach, pdf["x"].to_numpy() - tx * tile + reach] = 0
+        # Squared Euclidean distance: along each row first, then the best row within reach.
+        rows = np.nonzero((grid == 0).any(axis=1))[0]
+        near = grid[rows][:, reach:reach + tile].copy()
+        for d in range(1, reach + 1):
+            np.minimum(near, grid[rows][:, reach - d:reach - d + tile] + np.uint16(d * d), out=near)
+            np.minimum(near, grid[rows][:, reach + d:reach + d + tile] + np.uint16(d * d), out=near)
+        out = np.full((tile, tile), cap2, dtype=np.uint16)
+        for r, line in zip(rows.tolist(), near):
+            lo, hi = max(0, r - 2 * reach), min(tile, r + 1)
+            step = (np.arange(lo, hi) + reach - r) ** 2
+            np.minimum(out[lo:hi], line[None, :] + step[:, None].astype(np.uint16), out=out[lo:hi])
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "ty": [ty], "tx": [tx], "field": [out.tobytes()]})
+
+    return spread(reached, key, "ty", "tx").groupBy(key, "ty", "tx").applyInPandas(field, f"{key} {key_type}, ty int, tx int, field binary")
+
+
+def _reachable(pts, c, lo_u, hi_u, lo_v, hi_v, width, height):
+    """Points that some candidate may put into the tile, by interval bounds of the similarity."""
+    rad = np.radians(c[:, 1])
+    a, b = c[:, 0] * np.cos(rad), c[:, 0] * np.sin(rad)
+
+    def times(v, low, high):
+        return np.minimum(v * low, v * high), np.maximum(v * low, v * high)
+
+    ax, ay = times(pts[:, 0], a.min(), a.max()), times(pts[:, 1], a.min(), a.max())
+    bx, by = times(pts[:, 0], b.min(), b.max()), times(pts[:, 1], b.min(), b.max())
+    u0, u1 = ax[0] - by[1] + c[:, 2].min(), ax[1] - by[0] + c[:, 2].max()
+    v0, v1 = bx[0] + ay[0] + c[:, 3].min(), bx[1] + ay[1] + c[:, 3].max()
+    u0, u1 = np.clip(u0, 0, width - 1), np.clip(u1, 0, width - 1)
+    v0, v1 = np.clip(v0, 0, height - 1), np.clip(v1, 0, height - 1)
+    return (u1 >= lo_u - 1) & (u0 <= hi_u + 1) & (v1 >= lo_v - 1) & (v0 <= hi_v + 1)
 
 
 def _tile_scores(samples: DataFrame, tiles: DataFrame, sheets: DataFrame, tile: int, key: str) -> DataFrame:
-    """Sum over a sheet's sample points of the capped distance, per candidate. ``samples``: sheet, pts
+    """How far below the cap a sheet's sample points lie in total, per candidate. ``samples``: sheet, pts
     (x, y …); ``sheets``: sheet, width, height (reference), cands (array of s, degrees, dx, dy)."""
     key_type = dict(samples.dtypes)[key]
     work = tiles.join(samples.join(sheets, key), key)
+    below = (DISTANCE_CAP - np.sqrt(np.arange(int(DISTANCE_CAP ** 2) + 1))).astype(np.float64)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 pts = np.asarray(r.pts, dtype=float).reshape(-1, 2)
                 c = np.array([np.asarray(x, dtype=float) for x in r.cands])
-                field = np.asarray(r.field).reshape(tile, tile)
+                x0, y0 = r.tx * tile, r.ty * tile
+                pts = pts[_reachable(pts, c, x0, x0 + tile, y0, y0 + tile, r.width, r.height)]
+                field = np.frombuffer(r.field, dtype=np.uint16)
                 rad = np.radians(c[:, 1])
                 cos, sin = c[:, 0] * np.cos(rad), c[:, 0] * np.sin(rad)
                 gain = np.zeros(len(c))
-                for lo in range(0, len(c), 64):
+                for lo in range(0, len(c) if len(pts) else 0, 64):
                     k = slice(lo, lo + 64)
                     u = cos[k, None] * pts[None, :, 0] - sin[k, None] * pts[None, :, 1] + c[k, 2, None]
                     v = sin[k, None] * pts[None, :, 0] + cos[k, None] * pts[None, :, 1] + c[k, 3, None]
-                    u = np.clip(np.rint(u), 0, r.width - 1).astype(int) - r.tx * tile
-                    v = np.clip(np.rint(v), 0, r.height - 1).astype(int) - r.ty * tile
+                    u = np.clip(np.rint(u), 0, r.width - 1).astype(np.int64) - x0
+                    v = np.clip(np.rint(v), 0, r.height - 1).astype(np.int64) - y0
                     here = (u >= 0) & (u < tile) & (v >= 0) & (v < tile)
-                    d = field[np.where(here, v, 0), np.where(here, u, 0)]
-                    gain[k] = np.where(here, DISTANCE_CAP - d, 0.0).sum(axis=1)
+                    d2 = field[np.where(here, v * tile + u, 0)]
+                    gain[k] = np.where(here, below[d2], 0.0).sum(axis=1)
                 yield pd.DataFrame({key: getattr(r, key), "cand": np.arange(len(c), dtype=np.int32), "gain": gain})
 
     return work.mapInPandas(score, f"{key} {key_type}, cand int, gain double").groupBy(key, "cand").agg(F.sum("gain").alias("gain"))
 
 
-def score_transforms(points: DataFrame, edges: DataFrame, sheets: DataFrame, tile: int = 256,
+def score_transforms(points: DataFrame, edges: DataFrame, sheets: DataFrame, tile: int = TILE,
                      max_points: int = MAX_EDGE_POINTS, key: str = "sheet_id") -> DataFrame:
     """Structural alignment of each sheet: similarity whose projected edge points lie nearest the
     reference edges. Coarse grid of scales, rotations and shifts, then a finer one about the winner.
@@ -449,7 +548,9 @@ def score_transforms(points: DataFrame, edges: DataFrame, sheets: DataFrame, til
     samples = sample_by_hash(points, max_points, key).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p")).select(
         key, F.size("p").alias("n_sample"), F.flatten(F.transform("p", lambda p: F.array(p["x"].cast("double"), p["y"].cast("double")))).alias("pts"))
-    tiles = distance_tiles(edges, tile, key)
+    # Both search rounds read the tiles, so they are written once.
+    tiles = cut_lineage(distance_tiles(edges, tile, key))
+    samples = cut_lineage(samples)
     rich = base.filter(F.col("n_points") >= MIN_EDGE_POINTS)
     coarse = [[float(a), b, float(c), float(d)] for a in np.linspace(1 - SEARCH_SPAN, 1 + SEARCH_SPAN, SEARCH_SCALES)
               for b in SEARCH_ROTATIONS for c in np.linspace(-SEARCH_SHIFT, SEARCH_SHIFT, 5) for d in np.linspace(-SEARCH_SHIFT, SEARCH_SHIFT, 5)]
@@ -457,7 +558,7 @@ def score_transforms(points: DataFrame, edges: DataFrame, sheets: DataFrame, til
     ratio = F.col("ref_width") / F.col("width")
     cands = F.transform(grid, lambda c: F.array(c[0] * ratio, c[1], c[2] * F.col("ref_width"), c[3] * F.col("ref_height")))
     first = rich.select(key, F.col("ref_width").alias("width"), F.col("ref_height").alias("height"), cands.alias("cands"))
-    best1 = _winner(_tile_scores(samples, tiles, first, tile, key), first, samples, key)
+    best1 = cut_lineage(_winner(_tile_scores(samples, tiles, first, tile, key), first, samples, key))
     steps = np.linspace(-1, 1, REFINE_STEPS)
     fine = _literal_grid([[float(a), float(b), float(c), float(d)] for a in steps for b in steps for c in steps for d in steps])
     b = F.col("best")

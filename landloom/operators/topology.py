@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rings as R
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .spatial import box_pairs, distinct_shapes
 
 # Fixed value: five centimetres in degrees.
@@ -345,7 +345,7 @@ def clean_topology(parcels: DataFrame, tol: float = TOLERANCE_DEG, priority: str
                 done.append(_clean_one(_as_lists(flat), near, tol, keep_all))
             yield pd.DataFrame({"shape_id": pdf["shape_id"], "n_blockers": pdf["n_blockers"], "parts": done})
 
-    cleaned = rows.mapInPandas(cut, schema)
+    cleaned = spread(rows, "shape_id").mapInPandas(cut, schema)
     if has_crowd:
         crowded = todo.filter(F.col("n_blockers") > TILE_NEIGHBOURS)
         cleaned = cleaned.unionByName(_clean_crowded(crowded, pairs, tol, keep_all, schema))

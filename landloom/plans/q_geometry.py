@@ -15,8 +15,6 @@ from ..operators import validation as VA
 from .registry import query
 from .views import load, parcels, view, with_views
 
-RINGS = F.col("rings")
-
 
 def base14_sql(value: str, name: str) -> str:
     """Seven-digit base-14 expansion as reusable DuckDB column aliases; the code is ``<name>``."""
@@ -53,8 +51,8 @@ def area_sql(deg=DEG_AREA, lat="(y0 + y1) / 2"):
 @query("f3_area_sqm", with_views(f"""SELECT parcel_id, {area_sql()} AS area_centroid, round({DEG_AREA} * 111320e0 * (111320e0 * 0.89e0), 2) AS area_registration,
  round({DEG_AREA} * 111319.5e0 * (111319.5e0 * cos(radians((y0 + y1) / 2))), 2) AS area_screen FROM parcels""", "parcels"))
 def f3(spark, d):
-    return parcels(spark, d).select("parcel_id", R.area_sqm(RINGS).alias("area_centroid"), R.area_sqm(RINGS, "registration").alias("area_registration"),
-                                    R.area_sqm(RINGS, "screen").alias("area_screen"))
+    return parcels(spark, d).select("parcel_id", R.area_sqm(F.col("rings")).alias("area_centroid"), R.area_sqm(F.col("rings"), "registration").alias("area_registration"),
+                                    R.area_sqm(F.col("rings"), "screen").alias("area_screen"))
 
 
 def boxes(spark, d):
@@ -63,24 +61,24 @@ def boxes(spark, d):
 
 @query("f4_area_px", with_views("SELECT sheet_id, plot_no, round(bw * bh, 4) AS px, round(bw * bh * 0.24e0, 4) AS sqm FROM plots", "plots"))
 def f4(spark, d):
-    a = R.area_px(RINGS[0])
-    return boxes(spark, d).select("sheet_id", "plot_no", F.round(a, 4).alias("px"), F.round(R.area_px(RINGS[0], R.CANVAS_SQM_PER_PX), 4).alias("sqm"))
+    a = R.area_px(F.col("rings")[0])
+    return boxes(spark, d).select("sheet_id", "plot_no", F.round(a, 4).alias("px"), F.round(R.area_px(F.col("rings")[0], R.CANVAS_SQM_PER_PX), 4).alias("sqm"))
 
 
 @query("f5_centroid", with_views("""SELECT parcel_id, round((y0 + y1) / 2, 6) AS lat, round((x0 + x1) / 2, 6) AS lon,
  round((3 * y0 + 2 * y1) / 5, 9) AS mean_lat, round((3 * x0 + 2 * x1) / 5, 9) AS mean_lon FROM parcels""", "parcels"))
 def f5(spark, d):
-    c, m = R.centroid(RINGS), R.vertex_mean(RINGS[0])
+    c, m = R.centroid(F.col("rings")), R.vertex_mean(F.col("rings")[0])
     return parcels(spark, d).select("parcel_id", F.round(c["y"], 6).alias("lat"), F.round(c["x"], 6).alias("lon"),
                                     F.round(m["y"], 9).alias("mean_lat"), F.round(m["x"], 9).alias("mean_lon"))
 
 
-@query("f10_to_web_mercator", with_views("""SELECT parcel_id, round(x0 * 20037508.342789244e0 / 18e1, 3) AS mx, round(ln(tan(pi() / 4 + radians(y0) / 2)) * 20037508.342789244e0 / pi(), 3) AS my,
+@query("f10_to_web_mercator", with_views("""SELECT parcel_id, round(x0 * 20037508.342789244e0 / 18e1, 4) AS mx, round(ln(tan(pi() / 4 + radians(y0) / 2)) * 20037508.342789244e0 / pi(), 4) AS my,
  round(x1, 6) AS lon, round(y1, 6) AS lat FROM parcels""", "parcels"))
 def f10(spark, d):
-    p = parcels(spark, d).select("parcel_id", P.to_web_mercator(RINGS).alias("m"))
+    p = parcels(spark, d).select("parcel_id", P.to_web_mercator(F.col("rings")).alias("m"))
     p = p.select("parcel_id", "m", P.to_wgs84(F.col("m")).alias("back"))
-    return p.select("parcel_id", F.round(F.col("m")[0][0]["x"], 3).alias("mx"), F.round(F.col("m")[0][0]["y"], 3).alias("my"),
+    return p.select("parcel_id", F.col("m")[0][0]["x"].alias("mx"), F.col("m")[0][0]["y"].alias("my"),
                     F.round(F.col("back")[0][2]["x"], 6).alias("lon"), F.round(F.col("back")[0][2]["y"], 6).alias("lat"))
 
 
@@ -105,13 +103,13 @@ def f11b(spark, d):
 
 
 @query("f12_apply_homography", with_views("""WITH h AS (SELECT s_suppkey AS sheet_id, 1e0 + s_suppkey * 1e-4 AS h0, 2e-2 AS h1, 5e0 AS h2, -1e-2 AS h3, 99e-2 AS h4, -3e0 AS h5, 1e-5 AS h6, 2e-5 AS h7, 1e0 AS h8 FROM supplier)
-SELECT p.sheet_id, plot_no, round((h0 * x + h1 * y + h2) / (h6 * x + h7 * y + h8), 8) AS ux, round((h3 * x + h4 * y + h5) / (h6 * x + h7 * y + h8), 8) AS uy,
- round((h0 * (x + bw) + h1 * (y + bh) + h2) / (h6 * (x + bw) + h7 * (y + bh) + h8), 8) AS vx FROM plots p JOIN h ON p.sheet_id = h.sheet_id""", "plots"))
+SELECT p.sheet_id, plot_no, round((h0 * x + h1 * y + h2) / (h6 * x + h7 * y + h8), 6) AS ux, round((h3 * x + h4 * y + h5) / (h6 * x + h7 * y + h8), 6) AS uy,
+ round((h0 * (x + bw) + h1 * (y + bh) + h2) / (h6 * (x + bw) + h7 * (y + bh) + h8), 6) AS vx FROM plots p JOIN h ON p.sheet_id = h.sheet_id""", "plots"))
 def f12(spark, d):
     k = F.col("s_suppkey")
     h = load(spark, d, "supplier")["supplier"].select(k.alias("sheet_id"), F.array(*[c.cast("double") for c in (
         1.0 + k * 1e-4, F.lit(2e-2), F.lit(5.0), F.lit(-1e-2), F.lit(99e-2), F.lit(-3.0), F.lit(1e-5), F.lit(2e-5), F.lit(1.0))]).alias("h"))
-    p = boxes(spark, d).join(h, "sheet_id").select("sheet_id", "plot_no", P.apply_homography(RINGS, F.col("h")).alias("r"))
+    p = boxes(spark, d).join(h, "sheet_id").select("sheet_id", "plot_no", P.apply_homography(F.col("rings"), F.col("h"), 6).alias("r"))
     return p.select("sheet_id", "plot_no", F.col("r")[0][0]["x"].alias("ux"), F.col("r")[0][0]["y"].alias("uy"), F.col("r")[0][2]["x"].alias("vx"))
 
 
@@ -121,7 +119,7 @@ SELECT parcel_id, round(a / 1e4 + 809e-1, 8) AS lon, round((2047 - b) / 1e4 + 26
 def f12b(spark, d):
     h = F.array(*[F.lit(v) for v in (1.01, 2e-2, 5.0, -1e-2, 99e-2, -3.0, 1e-6, 1e-6, 1.0)])
     t = F.struct(F.lit(80.9).alias("min_x"), F.lit(26.7).alias("min_y"), F.lit(1.0e4).alias("scale_x"), F.lit(1.0e4).alias("scale_y"), F.lit(2048).alias("height"))
-    p = parcels(spark, d).withColumn("t", t).select("parcel_id", P.apply_homography_geo(RINGS, h, F.col("t"), F.col("t")).alias("r"))
+    p = parcels(spark, d).withColumn("t", t).select("parcel_id", P.apply_homography_geo(F.col("rings"), h, F.col("t"), F.col("t")).alias("r"))
     return p.select("parcel_id", F.col("r")[0][0]["x"].alias("lon"), F.col("r")[0][0]["y"].alias("lat"))
 
 
@@ -159,7 +157,7 @@ def f19(spark, d):
 
 @query("f20_fix_axis_order", with_views("SELECT parcel_id, round(x0, 9) AS lon, round(y0, 9) AS lat, CAST(5 AS INT) AS n_points, TRUE AS closed FROM parcels", "parcels"))
 def f20(spark, d):
-    open_ring = F.slice(RINGS[0], 1, 4)
+    open_ring = F.slice(F.col("rings")[0], 1, 4)
     turned = F.transform(open_ring, lambda p: R.point(p["y"], p["x"]))
     r = P.fix_axis_order(F.when(F.col("parcel_id") % 2 == 0, turned).otherwise(open_ring))
     q = parcels(spark, d).select("parcel_id", r.alias("r"))
@@ -170,7 +168,7 @@ def f20(spark, d):
  round((3 * x + 2 * (x + bw)) / 5 + (x - (3 * x + 2 * (x + bw)) / 5) * greatest(15e-2, least(6e0, bh / 9)), 6) AS sx FROM plots""", "plots"))
 def f21(spark, d):
     n = F.col("n_vertices").cast("double")
-    p = boxes(spark, d).select("sheet_id", "plot_no", P.translate_ring(RINGS[0], n, -n).alias("t"), P.scale_ring(RINGS[0], F.col("bh") / 9).alias("s"))
+    p = boxes(spark, d).select("sheet_id", "plot_no", P.translate_ring(F.col("rings")[0], n, -n).alias("t"), P.scale_ring(F.col("rings")[0], F.col("bh") / 9).alias("s"))
     return p.select("sheet_id", "plot_no", F.round(F.col("t")[4]["x"], 6).alias("tx"), F.round(F.col("t")[4]["y"], 6).alias("ty"), F.round(F.col("s")[0]["x"], 6).alias("sx"))
 
 
@@ -182,12 +180,12 @@ def f22(spark, d):
     return view(spark, d, "gcps").select("sheet_id", "gcp_id", F.round(m, 4).alias("metres"))
 
 
-@query("f23_area_change", with_views("""SELECT sheet_id, plot_no, round(area_px - area_sqm, 3) AS delta, round(CASE WHEN area_sqm > 0 THEN (area_px - area_sqm) / area_sqm * 1e2 ELSE 0e0 END, 3) AS percent,
+@query("f23_area_change", with_views("""SELECT sheet_id, plot_no, area_px - area_sqm AS delta, round(CASE WHEN area_sqm > 0 THEN (area_px - area_sqm) / area_sqm * 1e2 ELSE 0e0 END, 3) AS percent,
  round(area_sqm * ((bw + 0.3719e0) * bh / (bw * bh)), 1) AS edited FROM plots""", "plots"))
 def f23(spark, d):
     c = S.area_change(F.col("area_sqm"), F.col("area_px"))
     bw, bh = F.col("bw"), F.col("bh")
-    return view(spark, d, "plots").select("sheet_id", "plot_no", F.round(c["delta"], 3).alias("delta"), F.round(c["percent"], 3).alias("percent"),
+    return view(spark, d, "plots").select("sheet_id", "plot_no", c["delta"].alias("delta"), F.round(c["percent"], 3).alias("percent"),
                                           S.edited_area(F.col("area_sqm"), bw * bh, (bw + 0.3719) * bh).alias("edited"))
 
 
@@ -316,7 +314,7 @@ refs AS (SELECT DISTINCT sheet_id, sx, sy FROM gcps),
 n AS (SELECT v.sheet_id, plot_no, pos, sx, sy, row_number() OVER (PARTITION BY v.sheet_id, plot_no, pos ORDER BY (x - sx) ^ 2 + (y - sy) ^ 2, sx, sy) AS rn FROM v JOIN refs r ON v.sheet_id = r.sheet_id AND abs(x - sx) < 12 AND abs(y - sy) < 12 AND (x - sx) ^ 2 + (y - sy) ^ 2 < 144)
 SELECT v.sheet_id, v.plot_no, v.pos, coalesce(n.sx, v.x) AS sx, coalesce(n.sy, v.y) AS sy FROM v LEFT JOIN n ON v.sheet_id = n.sheet_id AND v.plot_no = n.plot_no AND v.pos = n.pos AND n.rn = 1""", "plots", "gcps"))
 def j7(spark, d):
-    pts = boxes(spark, d).select("sheet_id", F.col("plot_no").alias("shape_id"), F.size(RINGS[0]).alias("n"), F.posexplode(RINGS[0]).alias("pos", "p")).select(
+    pts = boxes(spark, d).select("sheet_id", F.col("plot_no").alias("shape_id"), F.size(F.col("rings")[0]).alias("n"), F.posexplode(F.col("rings")[0]).alias("pos", "p")).select(
         "sheet_id", "shape_id", "pos", "n", "p.x", "p.y")
     refs = view(spark, d, "gcps").select("sheet_id", F.col("sx").alias("x"), F.col("sy").alias("y"))
     return SP.snap_vertices(pts, refs).select("sheet_id", F.col("shape_id").alias("plot_no"), "pos", "sx", "sy")
@@ -326,16 +324,16 @@ def j7(spark, d):
 
 def bow_ties(spark, d):
     """Every fourth parcel with two corners swapped, which makes it cross itself."""
-    r = RINGS[0]
+    r = F.col("rings")[0]
     crossed = F.array(F.array(r[0], r[2], r[1], r[3], r[0]))
-    return parcels(spark, d).withColumn("rings", F.when(F.col("parcel_id") % 4 == 0, crossed).otherwise(RINGS))
+    return parcels(spark, d).withColumn("rings", F.when(F.col("parcel_id") % 4 == 0, crossed).otherwise(F.col("rings")))
 
 
 @query("f6_make_valid", with_views(f"""SELECT parcel_id, CAST(CASE WHEN parcel_id % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_parts, parcel_id % 4 = 0 AS repaired,
  round({DEG_AREA} * CASE WHEN parcel_id % 4 = 0 THEN 0.5e0 ELSE 1e0 END * 1e9, 2) AS area FROM parcels""", "parcels"))
 def f6(spark, d):
     v = T.make_valid(bow_ties(spark, d))
-    return v.groupBy("parcel_id").agg(F.count("*").alias("n_parts"), F.max("repaired").alias("repaired"), F.round(F.sum(R.planar_area(RINGS)) * 1e9, 2).alias("area"))
+    return v.groupBy("parcel_id").agg(F.count("*").alias("n_parts"), F.max("repaired").alias("repaired"), F.round(F.sum(R.planar_area(F.col("rings"))) * 1e9, 2).alias("area"))
 
 
 SIDES = """sides AS (SELECT p.*, (SELECT l.x1 FROM parcels l WHERE l.parcel_id = p.parcel_id - 1 AND p.parcel_id % 40 <> 0) AS lx,
@@ -349,7 +347,7 @@ def f7(spark, d):
 
 @query("f8_snap", with_views("WITH " + SIDES + """ SELECT parcel_id, round(coalesce(lx, x0), 9) AS minx, round(coalesce(rx, x1), 9) AS maxx FROM sides""", "parcels"))
 def f8(spark, d):
-    s = T.snap_parcels(parcels(spark, d)).select("parcel_id", R.bbox(RINGS).alias("b"))
+    s = T.snap_parcels(parcels(spark, d)).select("parcel_id", R.bbox(F.col("rings")).alias("b"))
     return s.select("parcel_id", F.round("b.minx", 9).alias("minx"), F.round("b.maxx", 9).alias("maxx"))
 
 
@@ -372,9 +370,9 @@ def a11(spark, d):
     return u.select("a_id", "n_shapes", F.round(area * 1e9, 2).alias("area"))
 
 
-@query("a16_largest_part", with_views("SELECT plot_no AS parcel_id, CAST(CASE WHEN bw > bh THEN 1 ELSE 0 END AS INT) AS part_no FROM plots", "plots"))
+@query("a16_largest_part", with_views("SELECT concat(CAST(sheet_id AS VARCHAR), '/', CAST(plot_no AS VARCHAR)) AS parcel_id, CAST(CASE WHEN bw > bh THEN 1 ELSE 0 END AS INT) AS part_no FROM plots", "plots"))
 def a16(spark, d):
     x, y, w, h = (F.col(c) for c in ("x", "y", "bw", "bh"))
     parts = F.array(R.rect_rings(x, y, x + h, y + h), R.rect_rings(x, y, x + w, y + w))
-    p = view(spark, d, "plots").select(F.col("plot_no").alias("parcel_id"), F.posexplode(parts).alias("part_no", "rings"))
+    p = view(spark, d, "plots").select(F.concat_ws("/", F.col("sheet_id").cast("string"), F.col("plot_no").cast("string")).alias("parcel_id"), F.posexplode(parts).alias("part_no", "rings"))
     return A.largest_part(p).select("parcel_id", "part_no")

@@ -18,7 +18,8 @@ def build_session(master: str | None = None, app: str = "landloom", **conf) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.parquet.filterPushdown": "true",
+        # Column call sites cost a JVM round trip each and only serve error texts.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -48,9 +49,17 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint: survives lost executors, unlike a local one."""
+    """Write to a table of its own in the shared folder and read it back. Survives lost executors,
+    and unlike an RDD checkpoint the readers prune columns and know its size when they plan joins."""
     spark = df.sparkSession
-    base = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
+    path = run_dir(spark, "cut")
+    df.write.mode("error").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df, *keys):
+    """Hash-partition by ``keys`` into the configured number of shuffle partitions, exempt from
+    run-time coalescing. For steps whose work per byte is large: the grouping that follows reuses the
+    partitioning, so no shuffle is added, and small inputs still use every core."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -185,19 +185,20 @@ def _wkb_parts(raw: bytes):
     return geometry()
 
 
-@F.pandas_udf("array<array<array<double>>>")
-def _wkb_udf(col: pd.Series) -> pd.Series:
-    def one(raw):
-        try:
-            return None if raw is None else _wkb_parts(bytes(raw))
-        except Exception:
-            return None
-    return col.map(one)
+def _wkb_or_null(raw):
+    try:
+        return None if raw is None else _wkb_parts(bytes(raw))
+    except (ValueError, IndexError, struct.error):
+        return None
 
 
 def decode_wkb(df: DataFrame, col: str = "wkb") -> DataFrame:
     """As decode_geometry, for binary columns; EWKB included."""
-    out = df.withColumn("_flat", _wkb_udf(F.col(col)))
+    @F.pandas_udf("array<array<array<double>>>")
+    def read(raw: pd.Series) -> pd.Series:
+        return raw.map(_wkb_or_null)
+
+    out = df.withColumn("_flat", read(F.col(col)))
     bad = F.col(col).isNotNull() & F.col("_flat").isNull()
     return (out.withColumn("parts", F.transform(F.coalesce("_flat", F.array().cast("array<array<array<double>>>")), R.unflat_rings))
             .withColumn("error", F.when(bad, "unable to parse geometry")).withColumn("rings", F.get("parts", F.lit(0))).drop("_flat"))
