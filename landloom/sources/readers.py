@@ -206,40 +206,46 @@ def decode_wkb(df: DataFrame, col: str = "wkb") -> DataFrame:
 
 # ---- control points ------------------------------------------------------------------------------
 
-def _end(row: Column, aliases: list[str], prefix: str, at: int) -> Column:
-    """(x, y) of one end of a control point given as JSON text: named object, pair, flat fields or list."""
-    def js(path):
-        return F.get_json_object(row, path)
-
-    named = F.coalesce(*[js(f"$.{a}") for a in aliases], js(f"$[{at}]"))
-    lng = F.coalesce(F.get_json_object(named, "$.lng"), F.get_json_object(named, "$.lon"))
-    lat = F.get_json_object(named, "$.lat")
-    flat_x = F.coalesce(js(f"$.{prefix}_lon"), js(f"$.{prefix}_x"))
-    flat_y = F.coalesce(js(f"$.{prefix}_lat"), js(f"$.{prefix}_y"))
-    px, py = F.get_json_object(named, "$[0]"), F.get_json_object(named, "$[1]")
-    pair = F.when(named.isNotNull() & lng.isNotNull(), F.struct(lng.alias("x"), lat.alias("y"), F.lit(False).alias("p"))).when(
-        named.isNotNull() & F.get_json_object(named, "$.x").isNotNull(),
-        F.struct(F.get_json_object(named, "$.x").alias("x"), F.get_json_object(named, "$.y").alias("y"), F.lit(False).alias("p"))).when(
-        named.isNotNull(), F.struct(px.alias("x"), py.alias("y"), F.lit(True).alias("p"))).otherwise(
-        F.struct(flat_x.alias("x"), flat_y.alias("y"), F.lit(True).alias("p")))
-    x, y = pair["x"].try_cast("double"), pair["y"].try_cast("double")
+def _end(named: Column, flat_x: Column, flat_y: Column) -> Column:
+    """(x, y) of one end from its parsed forms: ``named`` is struct<obj map, pair array>."""
+    obj, pair = named["obj"], named["pair"]
+    px = F.coalesce(F.get(pair, F.lit(0)), flat_x)
+    py = F.coalesce(F.get(pair, F.lit(1)), flat_y)
     # A listed pair in latitude/longitude order of the region is turned round.
-    swap = pair["p"] & x.between(5.0, 40.0) & y.between(60.0, 100.0)
-    return F.struct(F.when(swap, y).otherwise(x).alias("x"), F.when(swap, x).otherwise(y).alias("y"))
+    swap = px.between(5.0, 40.0) & py.between(60.0, 100.0)
+    listed = F.struct(F.when(swap, py).otherwise(px).alias("x"), F.when(swap, px).otherwise(py).alias("y"))
+    return F.when(F.size(obj) > 0, F.struct(F.coalesce(obj["lng"], obj["lon"], obj["x"]).alias("x"), F.coalesce(obj["lat"], obj["y"]).alias("y"))).otherwise(listed)
 
 
 def parse_gcps(docs: DataFrame, text: str = "value", doc_id: str = "path") -> DataFrame:
     """Control points under any of their key names: doc_id, gcp_no, name, sx, sy, tx, ty, error_m.
-    Points that cannot be read are skipped."""
-    items = F.from_json(text, "array<string>")
-    rows = docs.select(doc_id, F.posexplode(items).alias("gcp_no", "g"))
-    g = F.col("g")
-    out = rows.select(doc_id, "gcp_no", F.coalesce(F.get_json_object(g, "$.name"), F.get_json_object(g, "$.label"),
-                                                   F.get_json_object(g, "$.id")).alias("name"),
-                      _end(g, SOURCE_ALIASES, "source", 0).alias("s"), _end(g, TARGET_ALIASES, "target", 1).alias("t"),
-                      F.get_json_object(g, "$.error_m").try_cast("double").alias("error_m"))
-    return out.select(doc_id, "gcp_no", "name", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), F.col("t.x").alias("tx"),
-                      F.col("t.y").alias("ty"), "error_m").dropna(subset=["sx", "sy", "tx", "ty"])
+    Points that cannot be read are skipped. Each level of the text is parsed once, in a step of its own."""
+    rows = docs.select(doc_id, F.posexplode(F.from_json(text, "array<string>")).alias("gcp_no", "g"))
+    rows = rows.select(doc_id, "gcp_no", F.when(F.col("g").startswith("{"), F.from_json("g", "map<string,string>")).alias("m"),
+                       F.when(F.col("g").startswith("["), F.from_json("g", "array<string>")).alias("l"))
+
+    def named(aliases, at):
+        return F.coalesce(*[F.nullif(F.col("m")[a], F.lit("")) for a in aliases], F.get("l", F.lit(at)))
+
+    rows = rows.select(doc_id, "gcp_no", "m", named(SOURCE_ALIASES, 0).alias("s"), named(TARGET_ALIASES, 1).alias("t"))
+
+    def forms(c):
+        return F.struct(F.when(F.col(c).startswith("{"), F.from_json(c, "map<string,double>")).alias("obj"),
+                        F.when(F.col(c).startswith("["), F.from_json(c, "array<double>")).alias("pair")).alias(c)
+
+    def flat(prefix, axis):
+        lon, plain = ("lon", "x") if axis == 0 else ("lat", "y")
+        return F.coalesce(F.col("m")[f"{prefix}_{lon}"], F.col("m")[f"{prefix}_{plain}"]).try_cast("double")
+
+    rows = rows.select(doc_id, "gcp_no", F.coalesce(F.col("m")["name"], F.col("m")["label"], F.col("m")["id"]).alias("name"),
+                       F.col("m")["error_m"].try_cast("double").alias("error_m"), forms("s"), forms("t"),
+                       *[F.when(F.col(e).isNull(), flat(p, i)).alias(f"{e}{i}") for e, p in (("s", "source"), ("t", "target")) for i in (0, 1)])
+    out = rows.select(doc_id, "gcp_no", "name", _end(F.col("s"), F.col("s0"), F.col("s1")).alias("s"), _end(F.col("t"), F.col("t0"), F.col("t1")).alias("t"), "error_m")
+    # Unreadable points leave through a generator: a plain filter would be pushed below the parsing
+    # steps and repeat them.
+    point = F.struct(F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), F.col("t.x").alias("tx"), F.col("t.y").alias("ty"))
+    kept = F.filter(F.array(point), lambda p: p["sx"].isNotNull() & p["sy"].isNotNull() & p["tx"].isNotNull() & p["ty"].isNotNull())
+    return out.select(doc_id, "gcp_no", "name", "error_m", F.explode(kept).alias("p")).select(doc_id, "gcp_no", "name", "p.*", "error_m")
 
 
 def read_gcps(spark: SparkSession, paths) -> DataFrame:
@@ -259,14 +265,18 @@ def parse_svg_polygons(docs: DataFrame, text: str = "value", doc_id: str = "path
         return F.transform(pairs, lambda p: F.struct(
             F.split_part(p, F.lit(","), F.lit(1)).try_cast("double").alias("x"), F.split_part(p, F.lit(","), F.lit(2)).try_cast("double").alias("y")))
 
-    def whole(t):
+    def whole(r):
         # The drawn area is that of the polygon on whole pixels.
-        r = ring(t)
-        px = F.transform(r, lambda p: F.struct(p["x"].cast("bigint").cast("double").alias("x"), p["y"].cast("bigint").cast("double").alias("y")))
-        return F.struct(r.alias("ring"), F.when(F.size(r) >= 3, R.ring_area(px)).otherwise(0.0).alias("area_px"))
-
-    kept = F.filter(F.transform(lists, whole), lambda s: s["area_px"] > SVG_MIN_AREA)
-    return docs.select(doc_id, F.posexplode(kept).alias("i", "s")).select(
+        return F.transform(R.close_ring(r), lambda p: F.struct(p["x"].cast("bigint").cast("double").alias("x"), p["y"].cast("bigint").cast("double").alias("y")))
+
+    # One array step per select, so that no ring is parsed twice.
+    d = docs.select(doc_id, lists.alias("lists"))
+    d = d.select(doc_id, F.filter(F.transform("lists", ring), lambda r: F.size(r) >= 3).alias("rings"))
+    d = d.select(doc_id, "rings", F.transform("rings", whole).alias("px"))
+    d = d.select(doc_id, F.zip_with("rings", F.transform("px", lambda r: F.abs(R.cross_sum(r)) / 2.0),
+                                    lambda r, a: F.struct(r.alias("ring"), a.alias("area_px"))).alias("z"))
+    d = d.select(doc_id, F.posexplode(F.filter("z", lambda s: s["area_px"] > SVG_MIN_AREA)).alias("i", "s"))
+    return d.select(
         doc_id, (F.col("i") + FIRST_PLOT_NO).cast("string").alias("plot_id"), F.array(R.close_ring(F.col("s.ring"))).alias("rings"),
         F.col("s.area_px").alias("area_px"), F.round(F.col("s.area_px") * 0.12 * 12.0, 1).alias("area_sqm"))
 
