@@ -46,7 +46,7 @@ def parse_geojson(docs: DataFrame, text: str = "value", doc_id: str = "path") ->
     props, kind, coords = F.col("f.properties"), F.col("f.geometry.type"), F.col("f.geometry.coordinates")
 
     def given(key):
-        return F.nullif(F.nullif(props[key], F.lit("")), F.lit("0"))
+        return F.nullif(props[key], F.lit(""))
 
     poly, multi = F.from_json(F.concat(F.lit('{"c":'), coords, F.lit("}")), f"c {POLYGON_JSON}")["c"], F.from_json(
         F.concat(F.lit('{"c":'), coords, F.lit("}")), f"c {MULTI_JSON}")["c"]
