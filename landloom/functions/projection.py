@@ -6,7 +6,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rings import M_PER_DEG, close_ring, map_points, map_ring, point, vertex_mean
+from .rings import M_PER_DEG, close_ring, let, map_points, map_ring, point, vertex_mean
 
 # Half the equator in Web Mercator metres; latitude clamp; rounding per system.
 MERCATOR_HALF = 20037508.342789244
@@ -129,8 +129,7 @@ def translate_ring(ring: Column, dx: Column, dy: Column) -> Column:
 def scale_ring(ring: Column, scale: Column) -> Column:
     """Scale about the mean of the listed vertices, factor held in 0.15–6; closure is kept."""
     s = F.greatest(F.lit(0.15), F.least(F.lit(6.0), scale))
-    c = vertex_mean(ring)
-    return map_ring(ring, lambda x, y: (c["x"] + (x - c["x"]) * s, c["y"] + (y - c["y"]) * s))
+    return let(vertex_mean(ring), lambda c: map_ring(ring, lambda x, y: (c["x"] + (x - c["x"]) * s, c["y"] + (y - c["y"]) * s)))
 
 
 def displacement_m(lat1, lon1, lat2, lon2):

@@ -15,6 +15,12 @@ COS_REGISTRATION = 0.89
 CANVAS_SQM_PER_PX = 0.24
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(v)`` with ``value`` evaluated once. Inside a lambda an outer expression is worked out again for
+    every element; a bound variable is not."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -59,16 +65,16 @@ def map_ring(ring: Column, fn) -> Column:
 
 def cross_sum(ring: Column) -> Column:
     """Twice the signed area of a closed ring, taken about its first vertex for precision."""
-    ox, oy = ring[0]["x"], ring[0]["y"]
-    return F.aggregate(
-        edges(ring), F.lit(0.0),
-        lambda acc, e: acc + ((e["ax"] - ox) * (e["by"] - oy) - (e["bx"] - ox) * (e["ay"] - oy)),
-    )
+    def about(r):
+        return let(r[0], lambda o: F.aggregate(
+            edges(r), F.lit(0.0),
+            lambda acc, e: acc + ((e["ax"] - o["x"]) * (e["by"] - o["y"]) - (e["bx"] - o["x"]) * (e["ay"] - o["y"]))))
+    return let(ring, about)
 
 
 def ring_area(ring: Column) -> Column:
     """Planar area of one ring, closed or not (an open ring is closed first)."""
-    return F.abs(cross_sum(close_ring(ring))) / 2.0
+    return F.abs(cross_sum(let(ring, close_ring))) / 2.0
 
 
 def is_closed(ring: Column) -> Column:
@@ -102,8 +108,6 @@ def _ring_moments(ring: Column, ox: Column, oy: Column) -> Column:
 
 def moments(rings: Column) -> Column:
     """``struct<a2,mx,my>`` over shell minus holes, about the first shell vertex."""
-    ox, oy = rings[0][0]["x"], rings[0][0]["y"]
-    per_ring = F.transform(rings, lambda r, i: F.struct(_ring_moments(r, ox, oy).alias("m"), i.alias("i")))
     zero = F.struct(F.lit(0.0).alias("a2"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
 
     def add(acc, e):
@@ -111,38 +115,34 @@ def moments(rings: Column) -> Column:
         return F.struct((acc["a2"] + s * e["m"]["a"]).alias("a2"), (acc["mx"] + s * e["m"]["mx"]).alias("mx"),
                         (acc["my"] + s * e["m"]["my"]).alias("my"))
 
-    return F.aggregate(per_ring, zero, add)
+    def about(rs):
+        return let(rs[0][0], lambda o: F.aggregate(
+            F.transform(rs, lambda r, i: F.struct(_ring_moments(r, o["x"], o["y"]).alias("m"), i.alias("i"))), zero, add))
+
+    return let(rings, about)
 
 
 def vertex_mean(ring: Column) -> Column:
     """Plain mean of the listed vertices, closing one included."""
-    n = F.size(ring).cast("double")
-    return point(
-        F.aggregate(ring, F.lit(0.0), lambda a, p: a + p["x"]) / n,
-        F.aggregate(ring, F.lit(0.0), lambda a, p: a + p["y"]) / n,
-    )
-
-
-def centroid(rings: Column) -> Column:
-    """Area-weighted centroid ``struct<x,y>``; vertex mean where the area is zero."""
-    m = moments(rings)
-    ox, oy = rings[0][0]["x"], rings[0][0]["y"]
-    return F.when(m["a2"] == 0, vertex_mean(rings[0])).otherwise(
-        point(ox + m["mx"] / (3.0 * m["a2"]), oy + m["my"] / (3.0 * m["a2"]))
-    )
+    return let(ring, lambda r: point(
+        F.aggregate(r, F.lit(0.0), lambda a, p: a + p["x"]) / F.size(r).cast("double"),
+        F.aggregate(r, F.lit(0.0), lambda a, p: a + p["y"]) / F.size(r).cast("double")))
 
 
 def area_centroid(rings: Column) -> Column:
-    """``struct<area,x,y>`` in one pass over the edges, for operators that need both."""
-    ox, oy = rings[0][0]["x"], rings[0][0]["y"]
-    return F.transform(
-        F.array(moments(rings)),
-        lambda m: F.struct(
+    """``struct<area,x,y>`` in one pass over the edges: shell minus holes and the area-weighted
+    centroid, or the vertex mean where the area is zero."""
+    def read(rs):
+        return let(moments(rs), lambda m: F.struct(
             (m["a2"] / 2.0).alias("area"),
-            F.when(m["a2"] == 0, vertex_mean(rings[0])["x"]).otherwise(ox + m["mx"] / (3.0 * m["a2"])).alias("x"),
-            F.when(m["a2"] == 0, vertex_mean(rings[0])["y"]).otherwise(oy + m["my"] / (3.0 * m["a2"])).alias("y"),
-        ),
-    )[0]
+            F.when(m["a2"] == 0, vertex_mean(rs[0])["x"]).otherwise(rs[0][0]["x"] + m["mx"] / (3.0 * m["a2"])).alias("x"),
+            F.when(m["a2"] == 0, vertex_mean(rs[0])["y"]).otherwise(rs[0][0]["y"] + m["my"] / (3.0 * m["a2"])).alias("y")))
+    return let(rings, read)
+
+
+def centroid(rings: Column) -> Column:
+    """Area-weighted centroid ``struct<x,y>``."""
+    return let(area_centroid(rings), lambda c: point(c["x"], c["y"]))
 
 
 def metric_area(area_deg: Column, lat: Column) -> Column:
@@ -158,32 +158,35 @@ def area_sqm(rings: Column, mode: str = "centroid") -> Column:
     """Ground area. ``centroid`` is normative; ``registration`` uses a constant cosine;
     ``screen`` is the map-widget formula, planar at 0.24 m² per px² when not geographic."""
     if mode == "centroid":
-        ac = area_centroid(rings)
-        return F.round(metric_area(ac["area"], ac["y"]), 2)
+        return let(area_centroid(rings), lambda ac: F.round(metric_area(ac["area"], ac["y"]), 2))
     if mode == "registration":
         return F.round(planar_area(rings) * M_PER_DEG * (M_PER_DEG * COS_REGISTRATION), 2)
     if mode != "screen":
         raise ValueError(f"unknown area mode {mode!r}")
-    shell = _drop_repeats(rings[0])
-    open_ring = F.when((F.size(shell) > 3) & is_closed(shell), F.slice(shell, F.lit(1), F.size(shell) - 1)).otherwise(shell)
-    geographic = F.forall(open_ring, lambda p: (F.abs(p["y"]) <= 90) & (F.abs(p["x"]) <= 180))
-    lat = F.aggregate(open_ring, F.lit(0.0), lambda a, p: a + p["y"]) / F.size(open_ring)
-    flat = ring_area(open_ring)
-    return F.when(F.size(open_ring) < 3, F.lit(0.0)).otherwise(F.round(
-        F.when(geographic, flat * M_PER_DEG_UI * (M_PER_DEG_UI * F.cos(F.radians(lat)))).otherwise(flat * CANVAS_SQM_PER_PX), 2))
+    def opened(shell):
+        return F.when((F.size(shell) > 3) & is_closed(shell), F.slice(shell, F.lit(1), F.size(shell) - 1)).otherwise(shell)
+
+    def ground(r):
+        geographic = F.forall(r, lambda p: (F.abs(p["y"]) <= 90) & (F.abs(p["x"]) <= 180))
+        lat = F.aggregate(r, F.lit(0.0), lambda a, p: a + p["y"]) / F.size(r)
+        scale = F.when(geographic, M_PER_DEG_UI * (M_PER_DEG_UI * F.cos(F.radians(lat)))).otherwise(CANVAS_SQM_PER_PX)
+        return F.when(F.size(r) < 3, F.lit(0.0)).otherwise(F.round(ring_area(r) * scale, 2))
+
+    return let(let(let(rings[0], _drop_repeats), opened), ground)
 
 
 def area_px(ring: Column, sqm_per_px: float | None = None) -> Column:
     """Planar shoelace area of a pixel ring, optionally scaled to square metres."""
-    a = F.when(F.size(ring) < 3, F.lit(0.0)).otherwise(ring_area(ring))
+    a = let(ring, lambda r: F.when(F.size(r) < 3, F.lit(0.0)).otherwise(ring_area(r)))
     return a if sqm_per_px is None else a * sqm_per_px
 
 
 def bbox(rings: Column) -> Column:
-    xs = F.transform(all_points(rings), lambda p: p["x"])
-    ys = F.transform(all_points(rings), lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"),
-                    F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+    def ends(pts):
+        xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
+        return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"),
+                        F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+    return let(all_points(rings), ends)
 
 
 def with_bbox(df, rings: str = "rings"):
@@ -194,9 +197,8 @@ def with_bbox(df, rings: str = "rings"):
 
 def is_rectangle(rings: Column) -> Column:
     """True for a single axis-parallel rectangle, whose bounding box is the shape itself."""
-    r = rings[0]
-    return (F.size(rings) == 1) & (F.size(r) == 5) & F.forall(
-        edges(r), lambda e: (e["ax"] == e["bx"]) != (e["ay"] == e["by"]))
+    return let(rings, lambda rs: (F.size(rs) == 1) & (F.size(rs[0]) == 5) & F.forall(
+        edges(rs[0]), lambda e: (e["ax"] == e["bx"]) != (e["ay"] == e["by"])))
 
 
 def _orient(ax, ay, bx, by, cx, cy):
@@ -235,10 +237,10 @@ def contains_point(rings: Column, x: Column, y: Column) -> Column:
 
 def polygons_intersect(a: Column, b: Column) -> Column:
     """Exact polygon predicate: some edges meet, or one holds a vertex of the other."""
-    edges_b = all_edges(b)
-    return (F.exists(all_edges(a), lambda e: F.exists(edges_b, lambda f: segments_meet(e, f)))
-            | contains_point(b, a[0][0]["x"], a[0][0]["y"])
-            | contains_point(a, b[0][0]["x"], b[0][0]["y"]))
+    edges_meet = let(all_edges(b), lambda eb: F.exists(all_edges(a), lambda e: F.exists(eb, lambda f: segments_meet(e, f))))
+    return (edges_meet
+            | let(a[0][0], lambda p: contains_point(b, p["x"], p["y"]))
+            | let(b[0][0], lambda p: contains_point(a, p["x"], p["y"])))
 
 
 def point_segment_distance(px, py, e: Column) -> Column:
@@ -250,9 +252,8 @@ def point_segment_distance(px, py, e: Column) -> Column:
 
 
 def _vertex_edge_distance(a: Column, b: Column) -> Column:
-    edges_b = all_edges(b)
-    return F.array_min(F.transform(
-        all_points(a), lambda p: F.array_min(F.transform(edges_b, lambda e: point_segment_distance(p["x"], p["y"], e)))))
+    return let(all_edges(b), lambda eb: F.array_min(F.transform(
+        all_points(a), lambda p: F.array_min(F.transform(eb, lambda e: point_segment_distance(p["x"], p["y"], e))))))
 
 
 def polygon_distance(a: Column, b: Column) -> Column:
@@ -263,14 +264,16 @@ def polygon_distance(a: Column, b: Column) -> Column:
 
 def is_simple(ring: Column) -> Column:
     """No two non-adjacent edges of a closed ring meet and no vertex repeats."""
-    es = edges(ring)
-    n = F.size(es)
-    tagged = F.transform(es, lambda e, i: F.struct(e["ax"].alias("ax"), e["ay"].alias("ay"), e["bx"].alias("bx"),
-                                                   e["by"].alias("by"), i.alias("i")))
-    clash = F.exists(tagged, lambda e: F.exists(
-        tagged, lambda f: (f["i"] > e["i"] + 1) & ~((e["i"] == 0) & (f["i"] == n - 1)) & segments_meet(e, f)))
-    repeats = F.exists(es, lambda e: (e["ax"] == e["bx"]) & (e["ay"] == e["by"]))
-    return ~clash & ~repeats
+    tagged = F.transform(edges(ring), lambda e, i: F.struct(e["ax"].alias("ax"), e["ay"].alias("ay"), e["bx"].alias("bx"),
+                                                            e["by"].alias("by"), i.alias("i")))
+
+    def sound(ts):
+        clash = F.exists(ts, lambda e: F.exists(
+            ts, lambda f: (f["i"] > e["i"] + 1) & ~((e["i"] == 0) & (f["i"] == F.size(ts) - 1)) & segments_meet(e, f)))
+        repeats = F.exists(ts, lambda e: (e["ax"] == e["bx"]) & (e["ay"] == e["by"]))
+        return ~clash & ~repeats
+
+    return let(tagged, sound)
 
 
 def flat_rings(rings: Column) -> Column:
@@ -292,10 +295,11 @@ def geojson_coordinates(rings: Column) -> Column:
 def ring_extremities(ring: Column) -> Column:
     """0-based indices of the topmost, rightmost, lowest and leftmost vertex, repeats removed
     (screen axes: y grows downwards; the first of equals wins)."""
-    idx = F.transform(ring, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), i.alias("i")))
-
-    def least(key):
+    def least(idx, key):
         return F.array_min(F.transform(idx, lambda s: F.struct(key(s).alias("k"), s["i"].alias("i"))))["i"]
 
-    return F.when(F.size(ring) < 4, F.array().cast("array<int>")).otherwise(F.array_distinct(F.array(
-        least(lambda s: s["y"]), least(lambda s: -s["x"]), least(lambda s: -s["y"]), least(lambda s: s["x"]))))
+    def corners(idx):
+        return F.when(F.size(idx) < 4, F.array().cast("array<int>")).otherwise(F.array_distinct(F.array(
+            least(idx, lambda s: s["y"]), least(idx, lambda s: -s["x"]), least(idx, lambda s: -s["y"]), least(idx, lambda s: s["x"]))))
+
+    return let(F.transform(ring, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), i.alias("i"))), corners)
