@@ -472,10 +472,11 @@ def distance_tiles(edges: DataFrame, tile: int = TILE, key: str = "sheet_id") ->
         grid[pdf["y"].to_numpy() - ty * tile + reach, pdf["x"].to_numpy() - tx * tile + reach] = 0
         # Squared Euclidean distance: along each row first, then the best row within reach.
         rows = np.nonzero((grid == 0).any(axis=1))[0]
-        near = grid[rows][:, reach:reach + tile].copy()
+        lit = grid[rows]
+        near = lit[:, reach:reach + tile].copy()
         for d in range(1, reach + 1):
-            np.minimum(near, grid[rows][:, reach - d:reach - d + tile] + np.uint16(d * d), out=near)
-            np.minimum(near, grid[rows][:, reach + d:reach + d + tile] + np.uint16(d * d), out=near)
+            np.minimum(near, lit[:, reach - d:reach - d + tile] + np.uint16(d * d), out=near)
+            np.minimum(near, lit[:, reach + d:reach + d + tile] + np.uint16(d * d), out=near)
         out = np.full((tile, tile), cap2, dtype=np.uint16)
         for r, line in zip(rows.tolist(), near):
             lo, hi = max(0, r - 2 * reach), min(tile, r + 1)
@@ -507,29 +508,36 @@ def _tile_scores(samples: DataFrame, tiles: DataFrame, sheets: DataFrame, tile:
     """How far below the cap a sheet's sample points lie in total, per candidate. ``samples``: sheet, pts
     (x, y …); ``sheets``: sheet, width, height (reference), cands (array of s, degrees, dx, dy)."""
     key_type = dict(samples.dtypes)[key]
-    work = tiles.join(samples.join(sheets, key), key)
-    below = (DISTANCE_CAP - np.sqrt(np.arange(int(DISTANCE_CAP ** 2) + 1))).astype(np.float64)
+    work = tiles.join(samples.join(sheets.withColumn("cands", F.flatten("cands")), key), key)
+    below = (DISTANCE_CAP - np.sqrt(np.arange(int(DISTANCE_CAP ** 2) + 1))).astype(np.float32)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edge = tile + 1
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 pts = np.asarray(r.pts, dtype=float).reshape(-1, 2)
-                c = np.array([np.asarray(x, dtype=float) for x in r.cands])
+                c = np.asarray(r.cands, dtype=float).reshape(-1, 4)
                 x0, y0 = r.tx * tile, r.ty * tile
                 pts = pts[_reachable(pts, c, x0, x0 + tile, y0, y0 + tile, r.width, r.height)]
-                field = np.frombuffer(r.field, dtype=np.uint16)
+                # One spare row and column of zeros take whatever falls outside the tile.
+                field = np.zeros((edge, edge), dtype=np.float32)
+                field[:tile, :tile] = below[np.frombuffer(r.field, dtype=np.uint16).reshape(tile, tile)]
+                field = field.ravel()
                 rad = np.radians(c[:, 1])
                 cos, sin = c[:, 0] * np.cos(rad), c[:, 0] * np.sin(rad)
+                px, py = pts[:, 0], pts[:, 1]
                 gain = np.zeros(len(c))
-                for lo in range(0, len(c) if len(pts) else 0, 64):
-                    k = slice(lo, lo + 64)
-                    u = cos[k, None] * pts[None, :, 0] - sin[k, None] * pts[None, :, 1] + c[k, 2, None]
-                    v = sin[k, None] * pts[None, :, 0] + cos[k, None] * pts[None, :, 1] + c[k, 3, None]
-                    u = np.clip(np.rint(u), 0, r.width - 1).astype(np.int64) - x0
-                    v = np.clip(np.rint(v), 0, r.height - 1).astype(np.int64) - y0
-                    here = (u >= 0) & (u < tile) & (v >= 0) & (v < tile)
-                    d2 = field[np.where(here, v * tile + u, 0)]
-                    gain[k] = np.where(here, below[d2], 0.0).sum(axis=1)
+
+                def place(v, top, origin):
+                    v = np.clip(np.rint(v), 0, top - 1).astype(np.int32)
+                    v -= origin
+                    return np.minimum(v.view(np.uint32), tile)
+
+                for lo in range(0, len(c) if len(pts) else 0, 32):
+                    k = slice(lo, lo + 32)
+                    u = place(cos[k, None] * px - sin[k, None] * py + c[k, 2, None], r.width, x0)
+                    v = place(sin[k, None] * px + cos[k, None] * py + c[k, 3, None], r.height, y0)
+                    gain[k] = field[v * np.uint32(edge) + u].sum(axis=1, dtype=np.float64)
                 yield pd.DataFrame({key: getattr(r, key), "cand": np.arange(len(c), dtype=np.int32), "gain": gain})
 
     return work.mapInPandas(score, f"{key} {key_type}, cand int, gain double").groupBy(key, "cand").agg(F.sum("gain").alias("gain"))
