@@ -17,7 +17,7 @@ RANK_ROWS = 100_000
 def row_numbers(df: DataFrame, group: list[str], order: list[Column], along: Column) -> DataFrame:
     """``row_number`` over each group without gathering a group in one task.
 
-    ``along`` is the leading sort key of ``order`` as a number. The key range of a group is cut into as
+    ``along`` is a number that never falls along ``order``. The key range of a group is cut into as
     many equal spans as its row count asks for; rows are numbered inside a span and shifted by the
     rows of the spans before it."""
     d = df.withColumn("_k", along.cast("double"))
@@ -38,13 +38,16 @@ def row_numbers(df: DataFrame, group: list[str], order: list[Column], along: Col
 def number_plots(plots: DataFrame, sheets: DataFrame, variant: str = "raster") -> DataFrame:
     """Plots of a sheet numbered from 1 by row band, then left to right. ``raster`` bands are a sixth
     of the sheet height by centre; ``skeleton`` bands are 80 px by top edge."""
-    p = plots.join(sheets.select("sheet_id", F.col("height").alias("_h")), "sheet_id")
+    p = plots.join(sheets.select("sheet_id", F.col("height").alias("_h"), F.col("width").alias("_wd")), "sheet_id")
     if variant == "skeleton":
         band, across = F.floor(F.col("y") / 80), F.col("x")
     else:
         band, across = F.floor(F.col("cy") / F.greatest(F.lit(1), F.floor(F.col("_h") / 6))), F.col("cx")
-    p = p.withColumn("row_band", band.cast("bigint")).drop("_h")
-    return row_numbers(p, ["sheet_id"], [F.col("row_band"), across, F.col("plot_no")], F.col("row_band")).withColumnRenamed("row_no", "plot_index")
+    # Band plus place across the sheet: grows with the sort order, so a crowded band is cut up as well.
+    share = F.greatest(F.lit(0.0), F.least(F.lit(0.999999), across / F.greatest(F.lit(1.0), F.col("_wd"))))
+    p = p.withColumn("row_band", band.cast("bigint")).withColumn("_along", F.col("row_band") + share).drop("_h", "_wd")
+    numbered = row_numbers(p, ["sheet_id"], [F.col("row_band"), across, F.col("plot_no")], F.col("_along"))
+    return numbered.drop("_along").withColumnRenamed("row_no", "plot_index")
 
 
 def suppress_duplicate_plots(plots: DataFrame) -> DataFrame:

@@ -149,10 +149,10 @@ def f18(spark, d):
 
 
 @query("f19_unit_conversions", with_views("""SELECT sheet_id, plot_no, CASE WHEN area_sqm - 500 <= 0 THEN '0.00' ELSE printf('%.2f', round((area_sqm - 500) / 2529.28e0, 2)) END AS bigha,
- round(area_sqm / 126.464e0, 6) AS biswa, round(area_sqm * 10.7639e0, 6) AS sqft FROM plots""", "plots"))
+ area_sqm / 126.464e0 AS biswa, area_sqm * 10.7639e0 AS sqft FROM plots""", "plots"))
 def f19(spark, d):
     a = F.col("area_sqm")
-    return view(spark, d, "plots").select("sheet_id", "plot_no", S.to_bigha(a - 500).alias("bigha"), F.round(S.to_biswa(a), 6).alias("biswa"), F.round(S.to_sqft(a), 6).alias("sqft"))
+    return view(spark, d, "plots").select("sheet_id", "plot_no", S.to_bigha(a - 500).alias("bigha"), S.to_biswa(a).alias("biswa"), S.to_sqft(a).alias("sqft"))
 
 
 @query("f20_fix_axis_order", with_views("SELECT parcel_id, round(x0, 9) AS lon, round(y0, 9) AS lat, CAST(5 AS INT) AS n_points, TRUE AS closed FROM parcels", "parcels"))

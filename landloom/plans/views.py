@@ -40,7 +40,7 @@ SELECT l_suppkey AS tile_id, l_orderkey * 10 + l_linenumber AS px_id, CAST((l_pa
   CAST((l_partkey + l_orderkey * 3) % 256 AS INT) AS b, l_linestatus = 'O' AS in_mask FROM {lineitem}""",
     # Plots drawn on a sheet: one per line of an order, as pixel boxes on a 1200 x 900 canvas.
     "plots": """
-SELECT l_suppkey AS sheet_id, (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey AS plot_no, CAST((l_partkey * 37) % 1150 AS DOUBLE) AS x, CAST((l_orderkey * 17 + l_linenumber * 101) % 850 AS DOUBLE) AS y,
+SELECT l_suppkey AS sheet_id, (l_orderkey * 10 + l_linenumber) * 1000000000 + CAST(round(l_extendedprice * 1.0e2) AS BIGINT) AS plot_no, CAST((l_partkey * 37) % 1150 AS DOUBLE) AS x, CAST((l_orderkey * 17 + l_linenumber * 101) % 850 AS DOUBLE) AS y,
   CAST(12 + l_partkey % 60 AS DOUBLE) AS bw, CAST(10 + l_orderkey % 50 AS DOUBLE) AS bh,
   l_extendedprice / 4.0e1 AS area_px, CAST(3 + l_linenumber % 4 AS INT) AS n_vertices,
   round(5.0e1 + l_quantity - 2.0e2 * l_discount, 1) AS confidence_score, l_extendedprice / 2.0e1 AS area_sqm,

@@ -221,6 +221,16 @@ def test_numbering_in_spans(spark, monkeypatch):
         assert [got[(g, i)] for i in order] == list(range(1, 101))
 
 
+def test_plot_numbers_in_spans(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = [(1, i, float(rnd.randint(0, 1300)), float(rnd.randint(0, 900))) for i in range(300)]
+    p = spark.createDataFrame(rows, "sheet_id long, plot_no long, cx double, cy double")
+    sh = spark.createDataFrame([(1, 1200.0, 900.0)], "sheet_id long, width double, height double")
+    monkeypatch.setattr(PL, "RANK_ROWS", 9)
+    got = [r["plot_no"] for r in PL.number_plots(p, sh).orderBy("plot_index").collect()]
+    assert got == [r[1] for r in sorted(rows, key=lambda r: (r[3] // 150, r[2], r[1]))]
+
+
 def test_strip_drawing_modes_agree(monkeypatch):
     ring = [np.array([3.2, 4.7, 40.1, 9.9, 33.3, 51.0, 3.2, 4.7])]
     dense = AL._strip_blocks(ring, 2)
