@@ -3,6 +3,7 @@ solve per sheet, scoring as joins and aggregates."""
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -446,12 +447,13 @@ def sample_by_hash(points: DataFrame, n: int, key: str = "sheet_id") -> DataFram
     return kept.withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= n).select(key, "x", "y")
 
 
-TILE = 512
+# Side of a distance tile. Packed tiles stay far below the size where a reader's row batch gets too large.
+TILE = 256
 
 
 def distance_tiles(edges: DataFrame, tile: int = TILE, key: str = "sheet_id") -> DataFrame:
     """Squared distance to the nearest reference edge pixel, capped, as one row per tile that has an edge
-    pixel within reach: sheet, ty, tx, field (tile² 16-bit values). Absent tiles are at the cap throughout.
+    pixel within reach: sheet, ty, tx, field (tile² 16-bit values, deflated). Absent tiles are at the cap throughout.
 
     Each edge pixel goes to its tile and to the neighbours its reach covers; a tile holds at most
     (tile + 2·cap)² distinct pixels."""
@@ -482,7 +484,7 @@ def distance_tiles(edges: DataFrame, tile: int = TILE, key: str = "sheet_id") ->
             lo, hi = max(0, r - 2 * reach), min(tile, r + 1)
             step = (np.arange(lo, hi) + reach - r) ** 2
             np.minimum(out[lo:hi], line[None, :] + step[:, None].astype(np.uint16), out=out[lo:hi])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "ty": [ty], "tx": [tx], "field": [out.tobytes()]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "ty": [ty], "tx": [tx], "field": [zlib.compress(out.tobytes(), 1)]})
 
     return spread(reached, key, "ty", "tx").groupBy(key, "ty", "tx").applyInPandas(field, f"{key} {key_type}, ty int, tx int, field binary")
 
@@ -521,7 +523,7 @@ def _tile_scores(samples: DataFrame, tiles: DataFrame, sheets: DataFrame, tile:
                 pts = pts[_reachable(pts, c, x0, x0 + tile, y0, y0 + tile, r.width, r.height)]
                 # One spare row and column of zeros take whatever falls outside the tile.
                 field = np.zeros((edge, edge), dtype=np.float32)
-                field[:tile, :tile] = below[np.frombuffer(r.field, dtype=np.uint16).reshape(tile, tile)]
+                field[:tile, :tile] = below[np.frombuffer(zlib.decompress(r.field), dtype=np.uint16).reshape(tile, tile)]
                 field = field.ravel()
                 rad = np.radians(c[:, 1])
                 cos, sin = c[:, 0] * np.cos(rad), c[:, 0] * np.sin(rad)
