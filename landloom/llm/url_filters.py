@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port or trailing dot; empty if there is none."""
     h = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1)
-    return F.rtrim(F.lit("."), F.lower(h))
+    return F.rtrim(F.lower(h), F.lit("."))
 
 
 def path_of(url: Column) -> Column:
