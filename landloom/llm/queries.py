@@ -1,12 +1,16 @@
 """One query per operator, over whole tables."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, mixing, url_filters, warc
+from . import ann, bpe, jaccard, mixing, url_filters, warc
 from .common import table
 from .registry import query
 
+#: Path of the vocabulary file, on every node.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT"
 
 
@@ -81,3 +85,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
 def op10(spark, d):
     return ann.nearest(table(spark, d, "embeddings"))
+
+
+@query("op2_ngram_jaccard_join", """
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+t AS (SELECT doc_id, unnest(g) AS t FROM s),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+c AS (SELECT * FROM (WITH RECURSIVE r(d, m) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, r.m FROM r JOIN e ON r.d = e.x WHERE r.m < e.y) SELECT d, min(m) AS component_id FROM r GROUP BY d))
+SELECT n.doc_id, n.n AS n_shingles, c.component_id, (SELECT count(*) FROM e WHERE e.x = n.doc_id)::BIGINT AS n_links FROM n JOIN c ON c.d = n.doc_id""")
+def op2(spark, d):
+    return jaccard.classes(table(spark, d, "documents"), n=4, num=85, den=100)
+
+
+@query("op4_bpe_prefix_dp")
+def op4(spark, d):
+    return bpe.digests(table(spark, d, "documents"), TOKENIZER)
