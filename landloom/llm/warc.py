@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, run_dir
-from .common import open_dir
+from .common import n_parts, open_dir
 
 REVISIT_FROM = 100
 FILE_BYTES = 32 << 20
@@ -216,7 +216,7 @@ def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
     # A file is the unit of work; dealing files by name spreads what one large task has written.
-    return archives.repartition("file").mapInPandas(read, schema)
+    return archives.repartition(n_parts(archives.sparkSession), "file").mapInPandas(read, schema)
 
 
 def _frame(rows: list[tuple], payload: bool) -> pd.DataFrame:
