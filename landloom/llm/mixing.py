@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import WORD, row_key
 
 #: Weights of the sources in code point order, repeating.
@@ -60,7 +61,8 @@ def copies(docs: DataFrame, weights=WEIGHTS, most: int = MAX_COPIES) -> DataFram
 
     The place of a row within its source is the rows of smaller sizes, plus the rows of its size in earlier
     blocks of the id's hash, plus its place in its block: no window ever holds more than one block."""
-    rows = _keyed(docs).withColumn("block", F.substring("tag", 1, 2))
+    # Counting words is the dear part; the slim table of sizes is read three times.
+    rows = cut_lineage(_keyed(docs).withColumn("block", F.substring("tag", 1, 2)))
     per_block = rows.groupBy("source_key", "size", "block").agg(F.count(F.lit(1)).alias("c"))
     in_size = Window.partitionBy("source_key", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     per_block = per_block.withColumn("before_block", F.coalesce(F.sum("c").over(in_size), F.lit(0)))
