@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, mixing, url_filters, warc
+from . import ann, bpe, jaccard, mixing, quality, url_filters, warc
 from .common import table
 from .registry import query
 
@@ -104,3 +104,8 @@ def op2(spark, d):
 @query("op4_bpe_prefix_dp")
 def op4(spark, d):
     return bpe.digests(table(spark, d, "documents"), TOKENIZER)
+
+
+@query("op3_ngram_perplexity")
+def op3(spark, d):
+    return quality.judge(table(spark, d, "documents")).drop("rk")
