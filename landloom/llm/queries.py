@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, mixing, quality, url_filters, warc
+from . import ann, bpe, jaccard, mixing, pii, quality, url_filters, warc
 from .common import table
 from .registry import query
 
@@ -109,3 +109,8 @@ def op4(spark, d):
 @query("op3_ngram_perplexity")
 def op3(spark, d):
     return quality.judge(table(spark, d, "documents")).drop("rk")
+
+
+@query("op5_pii_boosting")
+def op5(spark, d):
+    return pii.report(table(spark, d, "documents"))
