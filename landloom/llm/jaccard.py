@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import mix, n_parts, pieces, shingle_hashes, word_hashes, words
+from .common import mix, n_parts, pack_planes, pieces, shingle_hashes, unpack_planes, word_hashes, words
 from .components import connected
 
 #: Sets of a group, so that a group and its union fit in a task. Larger groups are split by the id's hash.
@@ -116,14 +116,16 @@ def _flat(batch, n: int):
 
 
 def set_keys(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit name of the set."""
+    """doc_id, n_shingles, a 128-bit name of the set and its smallest hash."""
     def run(batches):
         for b in batches:
-            size, k1, k2 = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
+            size = np.zeros(b.num_rows, np.int64)
+            k1, k2, low = (np.zeros(b.num_rows, np.uint64) for _ in range(3))
             for r, u in _flat(b, n):
-                size[r], k1[r], k2[r] = len(u), mix(u).sum(dtype=np.uint64), mix(u + np.uint64(0x5851F42D)).sum(dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], names=["doc_id", "n_shingles", "k1", "k2"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+                if len(u):
+                    size[r], k1[r], k2[r], low[r] = len(u), mix(u).sum(dtype=np.uint64), mix(u + np.uint64(0x5851F42D)).sum(dtype=np.uint64), u[0]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), *[pa.array(k.view(np.int64)) for k in (k1, k2, low)]], names=["doc_id", "n_shingles", "k1", "k2", "low"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, low long")
 
 
 def _runs(h: np.ndarray, ids: np.ndarray):
@@ -171,14 +173,14 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([
             pa.array(np.arange(buckets), pa.int32()),
             pa.array([h[cut[k]:cut[k + 1]].tobytes() for k in range(buckets)], pa.binary()),
-            pa.array([i[cut[k]:cut[k + 1]].tobytes() for k in range(buckets)], pa.binary()),
-            pa.array([own[ecut[k]:ecut[k + 1]].tobytes() for k in range(buckets)], pa.binary())], names=["bucket", "h", "i", "e"])
+            pa.array([pack_planes(i[cut[k]:cut[k + 1]]) for k in range(buckets)], pa.binary()),
+            pa.array([pack_planes(own[ecut[k]:ecut[k + 1]].reshape(-1)) for k in range(buckets)], pa.binary())], names=["bucket", "h", "i", "e"])
 
     def gather(key, df):
         h = np.frombuffer(b"".join(df["h"]), np.uint64)
-        own = np.frombuffer(b"".join(df["e"]), np.int64).reshape(-1, 2)
+        own = np.concatenate([unpack_planes(x, np.int64) for x in df["e"]]).reshape(-1, 2)
         if len(h):
-            _, i, first, new = _runs(h, np.frombuffer(b"".join(df["i"]), np.int64))
+            _, i, first, new = _runs(h, np.concatenate([unpack_planes(x, np.int64) for x in df["i"]]))
             own = np.concatenate([own, np.stack([first[~new], i[~new]], 1)])
         own = np.unique(own[own[:, 0] != own[:, 1]], axis=0)
         return pd.DataFrame({"a": own[:, 0], "b": own[:, 1]})
@@ -189,13 +191,13 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _pack(key, df):
-    df = df.sort_values("node")
+    df = df.sort_values(["node", "tokens"]).drop_duplicates(["node", "tokens"])
     sets = [np.frombuffer(x, np.uint64) for x in df["tokens"]]
-    return pd.DataFrame({"component": [key[0]], "grp": [key[1]], "nodes": [df["node"].to_numpy(np.int64).tobytes()], "times": [df["times"].to_numpy(np.int64).tobytes()],
+    return pd.DataFrame({"component": [key[0]], "grp": [key[1]], "of": [df["of"].iloc[0]], "nodes": [df["node"].to_numpy(np.int64).tobytes()], "times": [df["times"].to_numpy(np.int64).tobytes()],
                          "sizes": [np.array([len(s) for s in sets], np.int64).tobytes()], "tokens": [np.concatenate(sets).tobytes()]})
 
 
-_PACKED = "component long, grp long, nodes binary, times binary, sizes binary, tokens binary"
+_PACKED = "component long, grp long, of long, nodes binary, times binary, sizes binary, tokens binary"
 
 
 class _Group:
@@ -252,67 +254,79 @@ def tile_links(a: _Group, b: _Group, same: bool, num: int, den: int):
     return rows if same else rows + [(int(n), None, int(c)) for n, c in zip(b.nodes, count_b, strict=True) if c]
 
 
-def links(docs: DataFrame, coarse: DataFrame, n: int, num: int, den: int, group: int = GROUP) -> DataFrame:
-    """(a, b, links): spanning links (b set) and parts of the link counts (b null) inside the coarse components."""
+def links(docs: DataFrame, keys: DataFrame, coarse: DataFrame, n: int, num: int, den: int, group: int = GROUP) -> DataFrame:
+    """(a, b, links): spanning links (b set) and parts of the link counts (b null) inside the coarse components.
+
+    Folding and dealing need the slim keys only. One text of each different set is then fetched, once."""
+    folded = keys.join(coarse.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("component", "k1", "k2", "low").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("times"))
+    folded = cut_lineage(folded)
+    # A component that is one set (and its copies) has nothing to compare.
+    per = folded.groupBy("component").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("component", F.ceil(F.col("c") / group).alias("of"))
+    parts = folded.groupBy("component", "low").agg(F.ceil(F.count(F.lit(1)) / group).alias("split"))
+    # Similar sets tend to share their smallest hash; a large component is dealt by it, a large deal by the id too.
+    dealt = folded.join(per, "component").join(parts, ["component", "low"]).withColumn("grp", F.xxhash64(F.pmod(F.xxhash64("low"), "of"), F.pmod(F.xxhash64("node"), "split")))
+    dealt = dealt.select("component", "grp", "of", "times", "k1", "k2", F.col("node").alias("doc_id"))
+    arrow = pa.schema([(c, pa.int64()) for c in ("component", "grp", "of", "times", "node")] + [("tokens", pa.binary())])
+
     def tokens(batches):
         for b in batches:
-            rows, size, comp, ids = [], 0, b.column(1), b.column(0)
-            for r, u in _flat(pa.RecordBatch.from_arrays([b.column(2)], names=["text"]), n):
-                if len(u):
-                    rows.append((ids[r].as_py(), comp[r].as_py(), int(mix(u).sum(dtype=np.uint64).view(np.int64)), int(mix(u + np.uint64(0x5851F42D)).sum(dtype=np.uint64).view(np.int64)), int(u[0].view(np.int64)), u.tobytes()))
+            text = pa.RecordBatch.from_arrays([b.column(5)], names=["text"])
+            k1, k2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (6, 7))
+            rows, out, size = [], [], 0
+
+            def batch(rows, out, b=b):
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([b.column(i).take(at) for i in range(5)] + [pa.array(out, pa.binary())], schema=arrow)
+
+            for r, u in _flat(text, n):
+                # An id may come with several texts; the one that the key names is meant.
+                if int(mix(u).sum(dtype=np.uint64).view(np.int64)) == k1[r] and int(mix(u + np.uint64(0x5851F42D)).sum(dtype=np.uint64).view(np.int64)) == k2[r]:
+                    rows.append(r)
+                    out.append(u.tobytes())
                     size += u.nbytes
                 if size > 8 << 20:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], schema=arrow)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], schema=arrow)
-
-    names = ["doc_id", "component", "k1", "k2", "low", "tokens"]
-    arrow = pa.schema([(c, pa.int64()) for c in names[:-1]] + [("tokens", pa.binary())])
-    member = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(coarse.withColumnRenamed("node", "doc_id"), "doc_id")
-    sets = member.select("doc_id", "component", "text").mapInArrow(tokens, "doc_id long, component long, k1 long, k2 long, low long, tokens binary")
-    # Equal sets hold equal bytes, so any row's tokens do.
-    folded = cut_lineage(sets.groupBy("component", "k1", "k2", "low").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("times"), F.first("tokens").alias("tokens")))
-    parts = folded.groupBy("component", "low").agg(F.ceil(F.count(F.lit(1)) / group).alias("split"))
-    per = folded.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / group).alias("of"))
-    # Similar sets tend to share their smallest hash; a large component is dealt by it, a large deal by the id too.
-    dealt = parts.join(per, "component").select("component", "low", "split", F.pmod(F.xxhash64("low"), "of").alias("deal"))
-    grp = F.xxhash64("deal", F.pmod(F.xxhash64("node"), "split"))
-    packed = cut_lineage(folded.join(dealt, ["component", "low"]).withColumn("grp", grp).select("component", "grp", "node", "times", "tokens").groupBy("component", "grp").applyInPandas(_pack, _PACKED))
+                    yield batch(rows, out)
+                    rows, out, size = [], [], 0
+            yield batch(rows, out)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(dealt, "doc_id")
+    sets = texts.select("component", "grp", "of", "times", "doc_id", "text", "k1", "k2").mapInArrow(tokens, "component long, grp long, of long, times long, node long, tokens binary")
+    packed = cut_lineage(sets.groupBy("component", "grp").applyInPandas(_pack, _PACKED))
 
     def own(batches):
         for df in batches:
-            out = []
             for r in df.itertuples(index=False):
                 g = _Group(r.nodes, r.times, r.sizes, r.tokens)
-                out += tile_links(g, g, True, num, den)
-            yield pd.DataFrame(out, columns=["a", "b", "links"]).astype({"a": "Int64", "b": "Int64", "links": "Int64"})
+                yield _link_rows(tile_links(g, g, True, num, den))
 
     def cross(batches):
         for df in batches:
-            out = []
             for r in df.itertuples(index=False):
-                g, o = _Group(r.nodes, r.times, r.sizes, r.tokens), _Group(r.nodes2, r.times2, r.sizes2, r.tokens2)
-                out += tile_links(g, o, False, num, den)
-            yield pd.DataFrame(out, columns=["a", "b", "links"]).astype({"a": "Int64", "b": "Int64", "links": "Int64"})
+                yield _link_rows(tile_links(_Group(r.nodes, r.times, r.sizes, r.tokens), _Group(r.nodes2, r.times2, r.sizes2, r.tokens2), False, num, den))
 
     schema = "a long, b long, links long"
-    alone = packed.select("nodes", "times", "sizes", "tokens").repartition(n_parts(docs.sparkSession)).mapInPandas(own, schema)
-    many = packed.join(per.filter("of > 1").select("component"), "component")
+    alone = packed.select("nodes", "times", "sizes", "tokens").mapInPandas(own, schema)
+    many = packed.filter("of > 1")
     left = many.select("component", "grp", "nodes", "times", "sizes", "tokens")
     right = many.select("component", F.col("grp").alias("grp2"), F.col("nodes").alias("nodes2"), F.col("times").alias("times2"), F.col("sizes").alias("sizes2"), F.col("tokens").alias("tokens2"))
-    tiles = left.join(right, "component").filter("grp < grp2").drop("component", "grp", "grp2").repartition(n_parts(docs.sparkSession))
+    # A group meets the others by numbers, so that the tiles of one component spread over the tasks.
+    pairs = many.select("component", "grp").join(many.select("component", F.col("grp").alias("grp2")), "component").filter("grp < grp2")
+    tiles = pairs.join(left, ["component", "grp"]).join(right, ["component", "grp2"]).drop("component", "grp", "grp2")
     return alone.union(tiles.mapInPandas(cross, schema))
 
 
+def _link_rows(rows: list) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["a", "b", "links"]).astype({"a": "Int64", "b": "Int64", "links": "Int64"})
+
+
 def classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row."""
     keys = cut_lineage(set_keys(docs, n))
-    coarse = connected(candidate_edges(docs, n, num, den))
-    found = cut_lineage(links(docs, coarse, n, num, den))
+    coarse = cut_lineage(connected(candidate_edges(docs, n, num, den)))
+    found = cut_lineage(links(docs, keys, coarse, n, num, den))
+    nodes = keys.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("times"))
     tied = connected(found.filter("b is not null").select("a", "b").union(_same_id(keys)))
     counts = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
-    nodes = keys.filter("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("times"))
     out = keys.join(nodes, ["n_shingles", "k1", "k2"], "left").join(tied, "node", "left").join(counts, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     n_links = F.when(F.col("doc_id").isNull() | F.col("node").isNull(), 0).otherwise(F.col("times") - 1 + F.coalesce("others", F.lit(0)))
