@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, mixing, pii, quality, url_filters, warc
+from . import ann, bpe, jaccard, mixing, pii, quality, suffix_dedup, url_filters, warc
 from .common import table
 from .registry import query
 
@@ -114,3 +114,9 @@ def op3(spark, d):
 @query("op5_pii_boosting")
 def op5(spark, d):
     return pii.report(table(spark, d, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6(spark, d):
+    r = suffix_dedup.dedup(table(spark, d, "documents"), length=200)
+    return r.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
