@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, mixing, pii, quality, suffix_dedup, url_filters, warc
+from . import ann, bpe, jaccard, mixing, passages, pii, quality, suffix_dedup, url_filters, warc
 from .common import table
 from .registry import query
 
@@ -120,3 +120,8 @@ def op5(spark, d):
 def op6(spark, d):
     r = suffix_dedup.dedup(table(spark, d, "documents"), length=200)
     return r.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_compact_windows")
+def op9(spark, d):
+    return passages.repeats(table(spark, d, "documents"), least_words=50, similarity=0.8)
