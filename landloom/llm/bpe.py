@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 #: Words whose encoding a worker keeps, in two generations.
-KEPT_WORDS = 150_000
-_KEPT_PAIRS = 1_000_000
+KEPT_WORDS = 80_000
+_KEPT_PAIRS = 300_000
 _NEVER = 1 << 60
 _END = "</w>"
 
