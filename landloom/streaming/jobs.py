@@ -151,50 +151,52 @@ def run_progress(stream: DataFrame, totals: DataFrame) -> DataFrame:
 
 # ---- approvals -----------------------------------------------------------------------------------
 
-def _merge_approvals(state: DataFrame | None, e: DataFrame) -> DataFrame:
-    """Approval state after one more batch of SUBMIT/APPROVE events. Only aggregates meet the state, so a
-    parcel with very many events is reduced inside the tasks that read them."""
-    k = F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    sub = e.filter("action = 'SUBMIT'").groupBy("parcel_id").agg(F.min(k).alias("s"))
-    if state is not None:
-        old = state.select("parcel_id", F.struct(F.col("submitted_at").alias("ts"), F.col("submitted_id").alias("event_id")).alias("s"))
-        sub = old.unionByName(sub).groupBy("parcel_id").agg(F.min("s").alias("s"))
-    act = e.filter("action = 'APPROVE'").withColumn("k", k).join(sub, "parcel_id").filter(F.col("k") > F.col("s")).groupBy("parcel_id").agg(F.min("k").alias("a"))
-    if state is not None:
-        old = state.filter("action_id is not null").select("parcel_id", F.struct(F.col("acted_at").alias("ts"), F.col("action_id").alias("event_id")).alias("a"))
-        act = old.unionByName(act).groupBy("parcel_id").agg(F.min("a").alias("a"))
-    return sub.join(act, "parcel_id", "left").select(
-        "parcel_id", F.col("s.event_id").alias("submitted_id"), F.col("s.ts").alias("submitted_at"),
-        F.col("a.event_id").alias("action_id"), F.col("a.ts").alias("acted_at"))
+def _docket_events(events: DataFrame, parcels: DataFrame) -> DataFrame:
+    return events.filter(F.col("action").isin("SUBMIT", "APPROVE")).select(
+        "parcel_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "action").join(parcels.select("parcel_id"), "parcel_id")
 
 
-def _docket_events(events: DataFrame, parcels: DataFrame) -> DataFrame:
-    return events.filter(F.col("action").isin("SUBMIT", "APPROVE")).select("parcel_id", "event_id", "ts", "action").join(
-        parcels.select("parcel_id"), "parcel_id")
+def _submissions(e: DataFrame) -> DataFrame:
+    """Earliest submission per parcel; only aggregates of a parcel's events are shuffled."""
+    return e.filter("action = 'SUBMIT'").groupBy("parcel_id").agg(F.min(F.struct("ts", "event_id")).alias("s"))
+
+
+def _chosen(submissions: DataFrame, actions: DataFrame) -> DataFrame:
+    """Each parcel's earliest submission and the first action after it."""
+    k = F.struct("ts", "event_id")
+    act = actions.join(submissions, "parcel_id").filter(k > F.col("s")).groupBy("parcel_id").agg(F.min(k).alias("a"))
+    return submissions.join(act, "parcel_id", "left").select(
+        "parcel_id", F.col("s.event_id").alias("submitted_id"), F.col("s.ts").alias("submitted_at"),
+        F.col("a.event_id").alias("action_id"), F.col("a.ts").alias("acted_at"))
 
 
 def approval_state(events: DataFrame, parcels: DataFrame) -> DataFrame:
     """First submission of each known parcel and the first action after it."""
-    return _merge_approvals(None, _docket_events(events, parcels))
+    e = _docket_events(events, parcels)
+    return _chosen(_submissions(e), e.filter("action = 'APPROVE'"))
 
 
 def run_approvals(stream: DataFrame, parcels: DataFrame) -> DataFrame:
-    """The same as a stream joined to the parcel table. Each micro-batch merges into a new snapshot of the
-    state, in a folder of its own, so a replayed batch writes the same snapshot again.
+    """The same as a stream joined to the parcel table, whatever order and batches the events come in.
 
-    An action counts once its submission has arrived; out-of-order events across batches settle on the
-    earliest submission seen so far."""
+    A batch adds what it knows, the earliest submission per parcel and its actions, in a folder of its own that
+    a replay overwrites; nothing kept is rewritten. The choice is made over all batches when the state is read, so an action
+    that came before its submission counts, and a submission that moves earlier opens the choice again."""
     spark = stream.sparkSession
     out = run_dir(spark, "approvals")
-    last = {"path": None}
+    known = "parcel_id bigint, event_id bigint, ts timestamp"
 
     def write(df: DataFrame, batch: int) -> None:
-        state = spark.read.parquet(f"{out}/batch_no={batch - 1}") if batch > 0 else None
-        _merge_approvals(state, df).write.mode("overwrite").parquet(f"{out}/batch_no={batch}")
-        last["path"] = f"{out}/batch_no={batch}"
+        _submissions(df).select("parcel_id", "s.event_id", "s.ts").write.mode("overwrite").parquet(f"{out}/submitted/batch_no={batch}")
+        df.filter("action = 'APPROVE'").select("parcel_id", "event_id", "ts").write.mode("overwrite").parquet(f"{out}/acted/batch_no={batch}")
 
+    empty = spark.createDataFrame([], known).withColumn("batch_no", F.lit(-1))
+    for part in ("submitted", "acted"):  # the folders exist even if no batch comes
+        empty.write.mode("append").partitionBy("batch_no").parquet(f"{out}/{part}")
     run_available(_docket_events(stream, parcels), "append", write, "approvals")
-    return spark.read.parquet(last["path"]) if last["path"] else approval_state(parcels.sparkSession.createDataFrame([], stream.schema), parcels)
+    read = lambda part: spark.read.schema(known + ", batch_no int").parquet(f"{out}/{part}").drop("batch_no")
+    first = read("submitted").groupBy("parcel_id").agg(F.min(F.struct("ts", "event_id")).alias("s"))
+    return _chosen(first, read("acted"))
 
 
 # ---- audit ledger --------------------------------------------------------------------------------
@@ -207,25 +209,52 @@ def audit_entries(events: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(":", F.col("parcel_id").cast("string"), "action", F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), F.col("event_id").cast("string")), 256).alias("digital_signature"))
 
 
-def audit_append(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Append-only ledger; an entry repeated within the watermark is written once."""
-    return audit_entries(stream).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["digital_signature"])
+def run_audit(stream: DataFrame) -> DataFrame:
+    """Append-only ledger: an entry is written once, however late or often it comes.
+
+    A batch is freed of its own repeats and of what earlier batches have written. Equal entries have the same day, so
+    only the days that a batch mentions are read back (the join prunes the others). A replay overwrites its batch."""
+    spark = stream.sparkSession
+    out = run_dir(spark, "audit")
+    entries = audit_entries(stream)
+    schema = entries.schema.add("batch_no", "long").add("day", "date")
+    spark.createDataFrame([], schema).write.partitionBy("batch_no", "day").parquet(out)
+
+    def ledger() -> DataFrame:
+        return spark.read.schema(schema).option("basePath", out).parquet(out)
+
+    def write(df: DataFrame, batch: int) -> None:
+        new = df.withColumn("day", F.to_date("ts")).dropDuplicates(["digital_signature"])
+        old = ledger().filter(F.col("batch_no") < batch).select("day", "digital_signature")
+        new.join(old, ["day", "digital_signature"], "left_anti").write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch_no={batch}")
+
+    run_available(entries, "append", write, "audit")
+    return ledger().drop("day")
 
 
 # ---- timeline ------------------------------------------------------------------------------------
 
-def timeline_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drafted and approved events per tumbling week. Rows later than ``delay`` behind the newest event
-    are dropped, as the watermark states."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+def week_counts(events: DataFrame) -> DataFrame:
+    """Drafted and approved events per week from Monday on."""
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return e.groupBy(F.window("ts", "7 days", startTime="4 days")).agg(
         F.count_if(F.col("action") == "DRAFT_PUT").alias("ai_drafted"), F.count_if(F.col("action") == "APPROVE").alias("officer_approved")
     ).select(F.col("window.start").alias("week_start"), "ai_drafted", "officer_approved")
 
 
-def run_timeline(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    out = run_to_table(timeline_stream(stream, delay), "update", "timeline")
-    return out.groupBy("week_start").agg(F.max_by(F.struct("ai_drafted", "officer_approved"), "batch_no").alias("l")).select("week_start", "l.*")
+def run_timeline(stream: DataFrame) -> DataFrame:
+    """Counts per week over all batches. Each batch writes its own counts, which add up; no event is too late."""
+    spark = stream.sparkSession
+    out = run_dir(spark, "timeline")
+    schema = "week_start timestamp, ai_drafted bigint, officer_approved bigint"
+    spark.createDataFrame([], schema).withColumn("batch_no", F.lit(-1)).write.partitionBy("batch_no").parquet(out)
+
+    def write(df: DataFrame, batch: int) -> None:
+        week_counts(df).write.mode("overwrite").parquet(f"{out}/batch_no={batch}")
+
+    run_available(stream.select("ts", "action"), "append", write, "timeline")
+    parts = spark.read.schema(schema + ", batch_no int").parquet(out)
+    return parts.groupBy("week_start").agg(F.sum("ai_drafted").alias("ai_drafted"), F.sum("officer_approved").alias("officer_approved"))
 
 
 # ---- layer ingest --------------------------------------------------------------------------------
