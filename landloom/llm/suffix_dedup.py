@@ -254,8 +254,10 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     buckets = parts * BUCKETS
     asked = met.filter("runs is not null").select("id", "tag", "text", "runs").mapInArrow(_edge_names(length, buckets), "bucket int, name binary, id binary, tag binary, s binary")
     more = cut_lineage(_per_text(asked.groupBy("bucket").applyInPandas(_equal_names, _RUN)).withColumnRenamed("runs", "more"))
-    touched = met.filter("runs is not null").join(more, ["id", "tag"], "left").select("doc_id", "text", "runs", "more")
-    clean = met.filter("runs is null").select("doc_id", "text", "runs", F.lit(None).cast(met.schema["runs"].dataType).alias("more"))
+    # Only texts that asked wait for answers; the others are cut as they are.
+    waits = F.coalesce(F.exists("runs", lambda x: x["kind"] == _ASKS), F.lit(False))
+    touched = met.filter(waits).join(more, ["id", "tag"], "left").select("doc_id", "text", "runs", "more")
+    clean = met.filter(~waits).select("doc_id", "text", "runs", F.lit(None).cast(met.schema["runs"].dataType).alias("more"))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("removed", pa.list_(pa.list_(pa.int64())))])
 
     def cut(batches):
