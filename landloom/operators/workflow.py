@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rings as R
 from ..functions.codes import state_signature, ulpin
 from ..functions.projection import fix_axis_order
+from ..session import cut_lineage
 from .relational import resolve_parcel
 from .topology import clean_topology, make_valid
 from .validation import ACTIONS, validate_registrations
@@ -59,38 +60,54 @@ def apply_cleanup(parcels: DataFrame, tol: float | None = None, priority: str |
         *own, F.col("_r").alias("rings"), F.col("_a").alias("area_sqm"), F.lit("TOPOLOGY_CLEANED").alias("alignment_status"))
 
 
-def update_boundaries(parcels: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hand-edited outlines: parcels after the edit, and audit rows.
-
-    ``edits``: parcel_id, ring (any axis order, open or closed), area_sqm (wins when given), modified_by,
-    notes, ts. Of several edits to a parcel the latest stands."""
-    cols = ["ring", "area_sqm", "modified_by", "notes", "ts"]
-    last = edits.groupBy("parcel_id").agg(F.max_by(F.struct(*cols), "ts").alias("e")).select("parcel_id", "e.*")
-    shaped = last.withColumn("rings", F.array(fix_axis_order(F.col("ring")))).filter(F.col("rings")[0].isNotNull())
-    from .aggregates import largest_part
-
-    valid = largest_part(make_valid(shaped)).select("parcel_id", F.col("rings").alias("new_rings"))
-    e = shaped.drop("rings", "ring").withColumnRenamed("area_sqm", "user_sqm").join(valid, "parcel_id")
-    e = e.withColumn("_ac", R.area_centroid(F.col("new_rings"))).withColumn(
-        "new_sqm", F.coalesce(F.when(F.col("user_sqm") != 0, F.col("user_sqm")), F.round(R.metric_area(F.col("_ac.area"), F.col("_ac.y")), 2)))
-    old_area = F.col("area_sqm") if "area_sqm" in parcels.columns else F.lit(None).cast("double")
-    joined = parcels.withColumn("_old", old_area).join(e, "parcel_id", "left")
-    own = [c for c in parcels.columns if c not in ("rings", "area_sqm", "centroid_lat", "centroid_lon", *BOX)]
+def update_boundaries(parcels: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hand-edited outlines: parcels after the edits, one audit row per edit, and the rejects.
+
+    ``edits``: edit_id (unique), parcel_ref, khasra_no, village (as ``resolve_parcel`` takes them; a plain
+    parcel_id does instead), ring (any axis order, open or closed), area_sqm (wins when given), modified_by, notes,
+    ts. Edits take effect in order of ts and edit_id. A repaired outline keeps all its parts in ``parts``, largest
+    first; area and centroid are theirs together, ``rings`` is the largest. An edit of an unknown parcel, with
+    fewer than three points or without area is rejected with the reason."""
+    if "parcel_ref" in edits.columns:
+        asked = resolve_parcel(edits.withColumnRenamed("edit_id", "request_id"), parcels).withColumnRenamed("request_id", "edit_id").withColumnRenamed("resolved_id", "parcel_id")
+    else:
+        known = parcels.select("parcel_id", F.lit(True).alias("_known"))
+        asked = edits.join(known, "parcel_id", "left").withColumn("parcel_id", F.when(F.col("_known"), F.col("parcel_id")))
+    asked = asked.withColumn("rings", F.array(fix_axis_order(F.col("ring"))))
+    unknown, short = F.col("parcel_id").isNull(), F.col("rings")[0].isNull()
+    sized = R.area_centroid(F.col("rings"))
+    # The parts of one outline, at most as many as it has edges, meet in one row.
+    shapes = make_valid(asked.filter(~unknown & ~short), "edit_id").withColumn("_m", sized).filter(F.col("_m.area") > 0)
+    parts = shapes.groupBy("edit_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_m.area").alias("area"), F.col("part_no"), F.col("rings"))), asc=False).alias("_p"),
+        F.sum("_m.area").alias("_area"), F.sum(F.col("_m.area") * F.col("_m.x")).alias("_mx"), F.sum(F.col("_m.area") * F.col("_m.y")).alias("_my"))
+    e = asked.select("edit_id", "parcel_id", F.col("area_sqm").alias("_user"), "modified_by", "notes", "ts", unknown.alias("_unknown"), short.alias("_short")).join(parts, "edit_id", "left")
+    x, y = F.col("_mx") / F.col("_area"), F.col("_my") / F.col("_area")
+    e = e.withColumns({"_x": x, "_y": y}).withColumn("_sqm", F.coalesce(F.when(F.col("_user") != 0, F.col("_user")), F.round(R.metric_area(F.col("_area"), F.col("_y")), 2)))
+    reason = F.when(F.col("_unknown"), "unknown parcel").when(F.col("_short"), "fewer than three points").when(F.col("_p").isNull(), "no area")
+    e = cut_lineage(e.withColumn("reason", reason))
+    rejects = e.filter(F.col("reason").isNotNull()).select("edit_id", "parcel_id", "modified_by", "ts", "reason")
+    good = e.filter(F.col("reason").isNull())
 
     def was(c):
         return F.col(c) if c in parcels.columns else F.lit(None).cast("double")
 
-    out = joined.select(
-        *own, F.coalesce("new_rings", "rings").alias("rings"), F.coalesce("new_sqm", "_old").alias("area_sqm"),
-        F.coalesce(F.col("_ac.y"), was("centroid_lat")).alias("centroid_lat"), F.coalesce(F.col("_ac.x"), was("centroid_lon")).alias("centroid_lon"))
-    new_state = F.to_json(F.struct(F.col("new_sqm").alias("area_sqm"), "notes"))
-    audit = joined.filter(F.col("new_rings").isNotNull()).select(
-        "parcel_id", F.col("modified_by").alias("officer_id"), F.lit("PATWARI").alias("officer_role"),
-        F.lit("MANUAL_BOUNDARY_ADJUST").alias("action"), F.col("_old").cast("string").alias("previous_state"),
-        new_state.alias("new_state"),
-        F.sha2(F.concat_ws(":", F.col("parcel_id").cast("string"), F.col("new_sqm").cast("string"), F.col("ts").cast("string")), 256).alias("digital_signature"),
+    # The latest edit by plain values first; its shape is attached afterwards.
+    newest = good.groupBy("parcel_id").agg(F.max("ts").alias("ts"))
+    last = good.join(newest, ["parcel_id", "ts"]).groupBy("parcel_id").agg(F.max("edit_id").alias("edit_id"))
+    shaped = good.join(last.select("edit_id"), "edit_id").select("parcel_id", "_p", "_sqm", "_x", "_y")
+    own = [c for c in parcels.columns if c not in ("rings", "parts", "area_sqm", "centroid_lat", "centroid_lon", *BOX)]
+    out = parcels.withColumns({"_old": was("area_sqm"), "_lat": was("centroid_lat"), "_lon": was("centroid_lon")}).join(shaped, "parcel_id", "left").select(
+        *own, F.coalesce(F.col("_p")[0]["rings"], "rings").alias("rings"), F.coalesce(F.transform("_p", lambda p: p["rings"]), F.array("rings")).alias("parts"),
+        F.coalesce("_sqm", "_old").alias("area_sqm"), F.coalesce("_y", "_lat").alias("centroid_lat"), F.coalesce("_x", "_lon").alias("centroid_lon"))
+    in_turn = Window.partitionBy("parcel_id").orderBy("ts", "edit_id")  # the edits of one parcel
+    audit = good.select("edit_id", "parcel_id", "_sqm", "modified_by", "notes", "ts").join(parcels.select("parcel_id", was("area_sqm").alias("_old")), "parcel_id").select(
+        "edit_id", "parcel_id", F.col("modified_by").alias("officer_id"), F.lit("PATWARI").alias("officer_role"),
+        F.lit("MANUAL_BOUNDARY_ADJUST").alias("action"), F.coalesce(F.lag("_sqm").over(in_turn), "_old").cast("string").alias("previous_state"),
+        F.to_json(F.struct(F.col("_sqm").alias("area_sqm"), "notes")).alias("new_state"),
+        F.sha2(F.concat_ws(":", F.col("parcel_id").cast("string"), F.col("_sqm").cast("string"), F.col("ts").cast("string"), F.col("edit_id").cast("string")), 256).alias("digital_signature"),
         "ts")
-    return out, audit
+    return out, audit, rejects
 
 
 def discard_drafts(parcels: DataFrame, ids: DataFrame) -> DataFrame:

@@ -21,21 +21,43 @@ def m1(spark, d):
     return good.select("parcel_id", "alignment_status", "centroid_lat", "centroid_lon", "area_sqm")
 
 
-@query("m2_update_boundaries", with_views(f"""WITH e AS (SELECT parcel_id, max_by(value, ts) AS v FROM survey_events WHERE action = 'SUBMIT' GROUP BY parcel_id)
-SELECT p.parcel_id, CASE WHEN e.parcel_id IS NULL THEN NULL WHEN p.parcel_id % 2 = 0 THEN {area_sql("(x1 - x0) * (y1 - y0) * 0.5e0")} ELSE coalesce(nullif(v, 0), {area_sql("(x1 - x0) * (y1 - y0) * 0.5e0")}) END AS area_sqm,
- round(CASE WHEN e.parcel_id IS NULL THEN NULL ELSE (y0 + y1) / 2 END, 6) AS centroid_lat, e.parcel_id IS NOT NULL AS audited FROM parcels p LEFT JOIN e ON p.parcel_id = e.parcel_id""", "parcels", "survey_events"))
-def m2(spark, d):
+EDITS = f"""e AS (SELECT event_id, parcel_id, ts, value, event_id % 7 = 0 AS short, event_id % 5 = 0 AS bow FROM survey_events WHERE action = 'SUBMIT'),
+good AS (SELECT e.event_id, e.ts, p.*, CASE WHEN p.parcel_id % 2 <> 0 AND value <> 0 THEN value WHEN bow THEN {area_sql("(x1 - x0) * (y1 - y0) * 0.25e0")} ELSE {area_sql("(x1 - x0) * (y1 - y0) * 0.5e0")} END AS sqm,
+ CASE WHEN bow THEN 2 ELSE 1 END AS n_parts FROM e JOIN parcels p ON e.parcel_id = p.parcel_id WHERE NOT short)"""
+
+
+def edited(spark, d):
+    """Edits from the submitted events: the left half of the parcel as latitude/longitude pairs without the closing
+    point, every fifth crossed over itself, every seventh of two points; some parcels are unknown, many are edited often."""
     p = parcels(spark, d)
-    ev = view(spark, d, "survey_events").filter("action = 'SUBMIT'")
-    # The left half of the parcel, given as latitude/longitude pairs without the closing point.
     mid = (F.col("x0") + F.col("x1")) / 2
-    ring = F.array(R.point(F.col("y0"), F.col("x0")), R.point(F.col("y0"), mid), R.point(F.col("y1"), mid), R.point(F.col("y1"), F.col("x0")))
-    e = ev.join(p.select("parcel_id", "x0", "y0", "x1", "y1"), "parcel_id").select(
-        "parcel_id", ring.alias("ring"), F.when(F.col("parcel_id") % 2 != 0, F.col("value")).alias("area_sqm"),
-        F.lit("patwari_01").alias("modified_by"), F.lit("edit").alias("notes"), "ts")
-    out, audit = WF.update_boundaries(p, e)
-    seen = audit.select("parcel_id", F.lit(True).alias("a"))
-    return out.join(seen, "parcel_id", "left").select("parcel_id", "area_sqm", F.round("centroid_lat", 6).alias("centroid_lat"), F.coalesce("a", F.lit(False)).alias("audited"))
+    a, b, c, e = R.point(F.col("y0"), F.col("x0")), R.point(F.col("y0"), mid), R.point(F.col("y1"), mid), R.point(F.col("y1"), F.col("x0"))
+    ring = F.when(F.col("event_id") % 7 == 0, F.array(a, b)).when(F.col("event_id") % 5 == 0, F.array(a, c, b, e)).otherwise(F.array(a, b, c, e))
+    ev = view(spark, d, "survey_events").filter("action = 'SUBMIT'").join(p.select("parcel_id", "x0", "y0", "x1", "y1"), "parcel_id", "left")
+    return WF.update_boundaries(p, ev.select(
+        F.col("event_id").alias("edit_id"), "parcel_id", ring.alias("ring"), F.when(F.col("parcel_id") % 2 != 0, F.col("value")).alias("area_sqm"),
+        F.lit("patwari_01").alias("modified_by"), F.lit("edit").alias("notes"), "ts"))
+
+
+@query("m2_update_boundaries", with_views("WITH " + EDITS + """, l AS (SELECT *, row_number() OVER (PARTITION BY parcel_id ORDER BY ts DESC, event_id DESC) AS rn FROM good)
+SELECT p.parcel_id, l.sqm AS area_sqm, round(CASE WHEN l.parcel_id IS NULL THEN NULL ELSE (l.y0 + l.y1) / 2 END, 6) AS centroid_lat, coalesce(l.n_parts, 1) AS n_parts
+FROM parcels p LEFT JOIN l ON p.parcel_id = l.parcel_id AND l.rn = 1""", "parcels", "survey_events"))
+def m2(spark, d):
+    out, _, _ = edited(spark, d)
+    return out.select("parcel_id", "area_sqm", F.round("centroid_lat", 6).alias("centroid_lat"), F.size("parts").alias("n_parts"))
+
+
+@query("m2_audit", with_views("WITH " + EDITS + """ SELECT event_id AS edit_id, parcel_id, lag(sqm) OVER (PARTITION BY parcel_id ORDER BY ts, event_id) AS previous_sqm, sqm AS new_sqm FROM good""", "parcels", "survey_events"))
+def m2_audit(spark, d):
+    _, audit, _ = edited(spark, d)
+    return audit.select("edit_id", "parcel_id", F.col("previous_state").cast("double").alias("previous_sqm"), F.get_json_object("new_state", "$.area_sqm").cast("double").alias("new_sqm"))
+
+
+@query("m2_rejects", with_views("WITH " + EDITS + """ SELECT e.event_id AS edit_id, CASE WHEN p.parcel_id IS NULL THEN 'unknown parcel' ELSE 'fewer than three points' END AS reason
+FROM e LEFT JOIN parcels p ON e.parcel_id = p.parcel_id WHERE p.parcel_id IS NULL OR short""", "parcels", "survey_events"))
+def m2_rejects(spark, d):
+    _, _, rejects = edited(spark, d)
+    return rejects.select("edit_id", "reason")
 
 
 @query("m3_apply_cleanup", with_views("WITH " + SIDES + f" SELECT parcel_id, khasra_no, {area_sql('(coalesce(rx, x1) - coalesce(lx, x0)) * (y1 - y0)')} AS area_sqm, 'TOPOLOGY_CLEANED' AS alignment_status FROM sides", "parcels"))
