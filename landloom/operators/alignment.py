@@ -27,8 +27,10 @@ MIN_EDGE_POINTS, MAX_EDGE_POINTS, SOFT_FIT = 50, 2000, 65.0
 RIDGE = 1e-6
 # Largest dense spline system one task solves; see fit_tps.
 TPS_LIMIT = 2048
-# Matches drawn as minimal samples per sheet.
-HYPOTHESES = 256
+# Most minimal samples drawn per sheet, and the confidence at which drawing stops earlier (fixed values).
+HYPOTHESES, CONFIDENCE = 4000, 0.995
+# Samples drawn between two looks at the confidence.
+DRAWS = 64
 # Samples that reach the vote over all matches, picked by their votes within the drawn matches.
 FINALISTS = 8
 
@@ -239,7 +241,8 @@ def fit_robust(matches: DataFrame, min_matches: int = SHEET_LIMITS["min_matches"
     matches, inliers, rmse_px. Sheets below ``min_matches`` come back with a null h and rmse 999.
 
     ``matches``: sheet, match_id, sx, sy, tx, ty. The minimal samples are the matches of lowest hash,
-    so the result does not depend on partitioning. They vote among themselves first; the finalists are
+    so the result does not depend on partitioning; up to 4 · hypotheses matches those are all. Drawing goes on until the
+    share of agreeing matches makes a clean sample likely enough. They vote among themselves first; the finalists are
     then voted on by all matches, as a join and a partial aggregate, and the winner is refitted from sums
     of normal-equation terms. Only the samples of a sheet (4 · hypotheses rows) and its 45 sums ever meet
     in one task."""
@@ -260,12 +263,20 @@ def fit_robust(matches: DataFrame, min_matches: int = SHEET_LIMITS["min_matches"
         pdf = pdf.sort_values("_r")
         src, dst = pdf[["sx", "sy"]].to_numpy(), pdf[["tx", "ty"]].to_numpy()
         rng = np.random.default_rng(len(pdf))
-        picks = np.array([rng.choice(len(pdf), 4, replace=False) for _ in range(hypotheses)])
-        area = _least_triangle(src[picks])
-        picks = picks[area > 1e-9 * max(1.0, float(np.ptp(src, axis=0).max()) ** 2)]
-        h = homography_from(src[picks], dst[picks]) if len(picks) else np.empty((0, 9))
-        h = h[np.isfinite(h).all(axis=1)]
-        votes = np.array([_agreeing(k, src, dst, threshold) for k in h], dtype=int)
+        least = 1e-9 * max(1.0, float(np.ptp(src, axis=0).max()) ** 2)
+        found, counts, drawn, enough = [np.empty((0, 9))], [np.empty(0, int)], 0, hypotheses
+        while drawn < min(enough, hypotheses):
+            picks = np.array([rng.choice(len(pdf), 4, replace=False) for _ in range(DRAWS)])
+            drawn += DRAWS
+            picks = picks[_least_triangle(src[picks]) > least]
+            if len(picks):
+                h = homography_from(src[picks], dst[picks])
+                h = h[np.isfinite(h).all(axis=1)]
+                found.append(h)
+                counts.append(np.array([_agreeing(k, src, dst, threshold) for k in h], dtype=int))
+            clean = (max((c.max(initial=0) for c in counts), default=0) / len(pdf)) ** 4
+            enough = hypotheses if clean <= 0 else 0 if clean >= 1 else np.log(1 - CONFIDENCE) / np.log(1 - clean)
+        h, votes = np.concatenate(found), np.concatenate(counts)
         h = h[np.argsort(-votes, kind="stable")[:FINALISTS]]
         return pd.DataFrame({key: [pdf[key].iloc[0]], "hs": [list(h)]})
 

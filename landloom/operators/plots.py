@@ -12,20 +12,22 @@ HUE_LOW, HUE_HIGH, SATURATION_OVER, CANOPY_SHARE = 35, 85, 45, 0.22
 CLEAR_TEXT = "Clear optical line-of-sight"
 # Rows one numbering task should hold.
 RANK_ROWS = 100_000
+# Spans a larger group is cut into.
+SPANS = 64
 
 
 def row_numbers(df: DataFrame, group: list[str], order: list[Column], along: Column) -> DataFrame:
     """``row_number`` over each group without gathering a group in one task.
 
-    ``along`` is a number that never falls along ``order``. The key range of a group is cut into as
-    many equal spans as its row count asks for; rows are numbered inside a span and shifted by the
-    rows of the spans before it."""
+    ``along`` is a number that never falls along ``order``. A group is cut at quantiles of it, into as many spans
+    as its row count asks for, so rows that crowd in one place are cut there; rows are numbered inside a span and
+    shifted by the rows of the spans before it. Approximate quantiles only move the cuts, not the numbers."""
     d = df.withColumn("_k", along.cast("double"))
-    ext = d.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
-    spans = F.greatest(F.lit(1), F.ceil(F.col("_n") / RANK_ROWS))
-    ext = ext.select(*group, "_lo", (F.col("_hi") - F.col("_lo")).alias("_w"), spans.alias("_s"))
-    frac = F.when(F.col("_w") > 0, (F.col("_k") - F.col("_lo")) / F.when(F.col("_w") > 0, F.col("_w"))).otherwise(0.0)
-    binned = d.join(ext, group).withColumn("_bin", F.least(F.floor(frac * F.col("_s")), F.col("_s") - 1).cast("int"))
+    cuts = F.percentile_approx("_k", F.array(*[F.lit(i / SPANS) for i in range(1, SPANS)]), F.lit(SPANS * 100))
+    ext = d.groupBy(*group).agg(F.count("*").alias("_n"), cuts.alias("_q"))
+    # Small groups are one span, without cuts.
+    ext = ext.select(*group, F.when(F.col("_n") > RANK_ROWS, F.array_distinct("_q")).otherwise(F.array().cast("array<double>")).alias("_q"))
+    binned = d.join(ext, group).withColumn("_bin", F.size(F.filter("_q", lambda q: q < F.col("_k")))).drop("_q")
     counts = binned.groupBy(*group, "_bin").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select(*group, "_bin", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))

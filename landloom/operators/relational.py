@@ -33,7 +33,8 @@ def limit_n(df: DataFrame, n: int, *order) -> DataFrame:
 
 
 def top1_by(df: DataFrame, keys, value: Column, *order: Column) -> DataFrame:
-    """Best row value per key by hash aggregation with map-side combine, no sort."""
+    """Best row value per key, reduced in each task before the shuffle. The order is a struct, which Spark keeps
+    in a sort aggregate; for single numeric orders use ``min``."""
     return df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias("value"))
 
 
@@ -178,9 +179,12 @@ def resolve_parcel(requests: DataFrame, parcels: DataFrame) -> DataFrame:
     by_kv = p.groupBy(F.col("khasra_no").alias("_k"), F.col("village").alias("_v")).agg(F.min("parcel_id").alias("_p2"))
     by_k = p.groupBy(F.col("khasra_no").alias("_k")).agg(F.min("parcel_id").alias("_p3"))
     by_c = by_k.select(F.col("_k").alias("_ck"), F.col("_p3").alias("_p4"))
-    r = requests.withColumn("_ck", khasra_from_id(F.col("parcel_ref")))
-    out = (r.join(by_id, F.col("parcel_ref") == F.col("_ref"), "left")
-           .join(by_kv, (F.col("khasra_no") == F.col("_k")) & (F.col("village") == F.col("_v")), "left").drop("_k", "_v")
-           .join(by_k, (F.col("khasra_no") == F.col("_k")) & F.col("village").isNull(), "left").drop("_k")
-           .join(by_c, "_ck", "left"))
-    return out.withColumn("resolved_id", F.coalesce("_p1", "_p2", "_p3", "_p4")).drop("_ref", "_p1", "_p2", "_p3", "_p4", "_ck")
+    # A missing key becomes one of the request's own that no parcel has, so requests without it do not meet in one task.
+    own = lambda c: F.coalesce(c, F.concat(F.lit("\0"), F.col("request_id").cast("string")))
+    k = F.col("khasra_no")
+    r = requests.withColumns({"_rf": own(F.col("parcel_ref").cast("string")), "_rk": own(F.when(F.col("village").isNotNull(), k)), "_rn": own(F.when(F.col("village").isNull(), k)), "_rc": own(khasra_from_id(F.col("parcel_ref")))})
+    out = (r.join(by_id, F.col("_rf") == F.col("_ref"), "left")
+           .join(by_kv, (F.col("_rk") == F.col("_k")) & (F.col("village") == F.col("_v")), "left").drop("_k", "_v")
+           .join(by_k, F.col("_rn") == F.col("_k"), "left").drop("_k")
+           .join(by_c, F.col("_rc") == F.col("_ck"), "left"))
+    return out.withColumn("resolved_id", F.coalesce("_p1", "_p2", "_p3", "_p4")).drop("_ref", "_p1", "_p2", "_p3", "_p4", "_ck", "_rf", "_rk", "_rn", "_rc")

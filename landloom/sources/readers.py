@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rings as R
@@ -35,14 +35,16 @@ def _points(coords: Column) -> Column:
 
 def parse_geojson(docs: DataFrame, text: str = "value", doc_id: str = "path") -> DataFrame:
     """FeatureCollection (or one Feature per document) to plots: doc_id, feature_no, khasra_no,
-    area_sqm, geometry_type, rings, legacy_props. Only the shell of the first polygon counts; rings of
-    fewer than three points are dropped."""
+    area_sqm, geometry_type, rings, parts, legacy_props. ``rings`` is the shell of the first polygon; ``parts`` has
+    every polygon with its holes. Shells of fewer than three points are dropped. A column ``line_no``, if the
+    documents have one, numbers their features through the file."""
     body = F.col(text)
     whole = F.from_json(body, COLLECTION_SCHEMA)
     single = F.array(F.from_json(body, FEATURE_SCHEMA))
     features = F.when(F.size(whole["features"]) > 0, whole["features"]).when(
         F.get_json_object(body, "$.type") == "Feature", single)
-    f = docs.select(F.col(doc_id).alias(doc_id), F.posexplode(features).alias("feature_no", "f"))
+    first = F.col("line_no").cast("int") if "line_no" in docs.columns else F.lit(0)
+    f = docs.select(F.col(doc_id).alias(doc_id), first.alias("_first"), F.posexplode(features).alias("_at", "f")).withColumn("feature_no", F.col("_first") + F.col("_at"))
     props, kind, coords = F.col("f.properties"), F.col("f.geometry.type"), F.col("f.geometry.coordinates")
 
     def given(key):
@@ -51,11 +53,12 @@ def parse_geojson(docs: DataFrame, text: str = "value", doc_id: str = "path") ->
     poly, multi = F.from_json(F.concat(F.lit('{"c":'), coords, F.lit("}")), f"c {POLYGON_JSON}")["c"], F.from_json(
         F.concat(F.lit('{"c":'), coords, F.lit("}")), f"c {MULTI_JSON}")["c"]
     shell = F.when(kind == "Polygon", F.get(poly, F.lit(0))).when(kind == "MultiPolygon", F.get(F.get(multi, F.lit(0)), F.lit(0)))
+    every = F.when(kind == "Polygon", F.array(poly)).when(kind == "MultiPolygon", multi)
     area = given("area_sqm").cast("double")
     return (f.select(doc_id, "feature_no",
                      F.coalesce(given("khasra_no"), given("id"), given("plot_id"), (F.col("feature_no") + FIRST_PLOT_NO).cast("string")).alias("khasra_no"),
                      F.coalesce(F.when(area != 0, area), F.lit(DEFAULT_AREA_SQM)).alias("area_sqm"), kind.alias("geometry_type"),
-                     F.array(shell).alias("_s"), props.alias("legacy_props"))
+                     F.array(shell).alias("_s"), F.transform(every, _points).alias("parts"), props.alias("legacy_props"))
             .filter(F.size(F.col("_s")[0]) >= 3)
             .select("*", _points(F.col("_s")).alias("rings")).drop("_s"))
 
@@ -65,12 +68,21 @@ def read_documents(spark: SparkSession, paths) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def numbered_lines(spark: SparkSession, paths) -> DataFrame:
+    """The non-empty lines of text files (path, line_no from 0, value). A large file is read in blocks; lines are
+    numbered within their block and shifted by the lines of the blocks before it."""
+    lines = spark.read.text(paths).filter(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), "value", F.monotonically_increasing_id().alias("_i"))
+    blocks = lines.groupBy("path", "_b").agg(F.min("_i").alias("_m"), F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("path").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(blocks.withColumn("_before", before), ["path", "_b"]).select("path", (F.col("_before") + F.col("_i") - F.col("_m")).alias("line_no"), "value")
+
+
 def read_geojson(spark: SparkSession, paths, lines: bool = False) -> DataFrame:
     """``lines``: newline-delimited features, which large layers should use since they split;
     otherwise one collection per file. A file without any feature is an error."""
     if lines:
-        docs = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
-        return parse_geojson(docs)
+        return parse_geojson(numbered_lines(spark, paths))
     docs = read_documents(spark, paths)
     broken = docs.filter(~has_features(F.col("value"))).limit(1).collect()
     if broken:
