@@ -193,11 +193,11 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 def _pack(key, df):
     df = df.sort_values(["node", "tokens"]).drop_duplicates(["node", "tokens"])
     sets = [np.frombuffer(x, np.uint64) for x in df["tokens"]]
-    return pd.DataFrame({"component": [key[0]], "grp": [key[1]], "of": [df["of"].iloc[0]], "nodes": [df["node"].to_numpy(np.int64).tobytes()], "times": [df["times"].to_numpy(np.int64).tobytes()],
+    return pd.DataFrame({"component": [key[0]], "grp": [key[1]], "band": [None if pd.isna(df["band"].iloc[0]) else int(df["band"].iloc[0])], "nodes": [df["node"].to_numpy(np.int64).tobytes()], "times": [df["times"].to_numpy(np.int64).tobytes()],
                          "sizes": [np.array([len(s) for s in sets], np.int64).tobytes()], "tokens": [np.concatenate(sets).tobytes()]})
 
 
-_PACKED = "component long, grp long, of long, nodes binary, times binary, sizes binary, tokens binary"
+_PACKED = "component long, grp long, band long, nodes binary, times binary, sizes binary, tokens binary"
 
 
 class _Group:
@@ -258,15 +258,19 @@ def links(docs: DataFrame, keys: DataFrame, coarse: DataFrame, n: int, num: int,
     """(a, b, links): spanning links (b set) and parts of the link counts (b null) inside the coarse components.
 
     Folding and dealing need the slim keys only. One text of each different set is then fetched, once."""
-    folded = keys.join(coarse.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("component", "k1", "k2", "low").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("times"))
+    folded = keys.join(coarse.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("component", "k1", "k2", "low", "n_shingles").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("times"))
     folded = cut_lineage(folded)
     # A component that is one set (and its copies) has nothing to compare.
-    per = folded.groupBy("component").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("component", F.ceil(F.col("c") / group).alias("of"))
-    parts = folded.groupBy("component", "low").agg(F.ceil(F.count(F.lit(1)) / group).alias("split"))
-    # Similar sets tend to share their smallest hash; a large component is dealt by it, a large deal by the id too.
-    dealt = folded.join(per, "component").join(parts, ["component", "low"]).withColumn("grp", F.xxhash64(F.pmod(F.xxhash64("low"), "of"), F.pmod(F.xxhash64("node"), "split")))
-    dealt = dealt.select("component", "grp", "of", "times", "k1", "k2", F.col("node").alias("doc_id"))
-    arrow = pa.schema([(c, pa.int64()) for c in ("component", "grp", "of", "times", "node")] + [("tokens", pa.binary())])
+    per = folded.groupBy("component").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("component", (F.col("c") > group).alias("large"))
+    # Large components are cut into bands of size; sizes that can link lie in one band or in two neighbouring ones.
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(math.log(den / num) * (1 + 1e-9))).cast("long")
+    folded = folded.join(per, "component").withColumn("band", F.when(F.col("large"), band).otherwise(0))
+    of = folded.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / group).alias("of"))
+    parts = folded.groupBy("component", "band", "low").agg(F.ceil(F.count(F.lit(1)) / group).alias("split"))
+    # Similar sets tend to share their smallest hash; a large band is dealt by it, a large deal by the id too.
+    dealt = folded.join(of, ["component", "band"]).join(parts, ["component", "band", "low"]).withColumn("grp", F.xxhash64("band", F.pmod(F.xxhash64("low"), "of"), F.pmod(F.xxhash64("node"), "split")))
+    dealt = dealt.select("component", "grp", F.when(F.col("large"), F.col("band")).alias("band"), "times", "k1", "k2", F.col("node").alias("doc_id"))
+    arrow = pa.schema([(c, pa.int64()) for c in ("component", "grp", "band", "times", "node")] + [("tokens", pa.binary())])
 
     def tokens(batches):
         for b in batches:
@@ -290,7 +294,7 @@ def links(docs: DataFrame, keys: DataFrame, coarse: DataFrame, n: int, num: int,
             yield batch(rows, out)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(dealt, "doc_id")
-    sets = texts.select("component", "grp", "of", "times", "doc_id", "text", "k1", "k2").mapInArrow(tokens, "component long, grp long, of long, times long, node long, tokens binary")
+    sets = texts.select("component", "grp", "band", "times", "doc_id", "text", "k1", "k2").mapInArrow(tokens, "component long, grp long, band long, times long, node long, tokens binary")
     packed = cut_lineage(sets.groupBy("component", "grp").applyInPandas(_pack, _PACKED))
 
     def own(batches):
@@ -306,11 +310,13 @@ def links(docs: DataFrame, keys: DataFrame, coarse: DataFrame, n: int, num: int,
 
     schema = "a long, b long, links long"
     alone = packed.select("nodes", "times", "sizes", "tokens").mapInPandas(own, schema)
-    many = packed.filter("of > 1")
+    many = packed.filter("band is not null")
     left = many.select("component", "grp", "nodes", "times", "sizes", "tokens")
     right = many.select("component", F.col("grp").alias("grp2"), F.col("nodes").alias("nodes2"), F.col("times").alias("times2"), F.col("sizes").alias("sizes2"), F.col("tokens").alias("tokens2"))
-    # A group meets the others by numbers, so that the tiles of one component spread over the tasks.
-    pairs = many.select("component", "grp").join(many.select("component", F.col("grp").alias("grp2")), "component").filter("grp < grp2")
+    # A group meets the others of its band and the next by numbers, so that the tiles of one component spread over the tasks.
+    near = many.select("component", "grp", "band")
+    above = many.select("component", F.col("grp").alias("grp2"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("band2"))
+    pairs = near.join(above, ["component", "band"]).filter((F.col("band2") > F.col("band")) | (F.col("grp") < F.col("grp2"))).select("component", "grp", "grp2")
     tiles = pairs.join(left, ["component", "grp"]).join(right, ["component", "grp2"]).drop("component", "grp", "grp2")
     return alone.union(tiles.mapInPandas(cross, schema))
 
@@ -319,11 +325,11 @@ def _link_rows(rows: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["a", "b", "links"]).astype({"a": "Int64", "b": "Int64", "links": "Int64"})
 
 
-def classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row."""
     keys = cut_lineage(set_keys(docs, n))
     coarse = cut_lineage(connected(candidate_edges(docs, n, num, den)))
-    found = cut_lineage(links(docs, keys, coarse, n, num, den))
+    found = cut_lineage(links(docs, keys, coarse, n, num, den, group))
     nodes = keys.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("times"))
     tied = connected(found.filter("b is not null").select("a", "b").union(_same_id(keys)))
     counts = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
