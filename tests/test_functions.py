@@ -102,6 +102,10 @@ def test_geojson_files(spark, tmp_path):
     writers.write_geojson(writers.parcel_features(p), str(tmp_path / "out"))
     back = readers.read_geojson(spark, str(tmp_path / "out"), lines=True)
     assert sorted(r["khasra_no"] for r in back.collect()) == sorted(str(i) for i in range(10))
+    lines = "\n".join('{"type": "Feature", "properties": {}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]}}' for _ in range(3))
+    (tmp_path / "unnamed.jsonl").write_text(lines.replace("\n", "\n\n", 1) + "\n")
+    got = readers.read_geojson(spark, str(tmp_path / "unnamed.jsonl"), lines=True).orderBy("feature_no").collect()
+    assert [(r["feature_no"], r["khasra_no"], len(r["rings"]), len(r["parts"])) for r in got] == [(0, "101", 1, 2), (1, "102", 1, 2), (2, "103", 1, 2)]
     (tmp_path / "empty.geojson").write_text('{"type": "FeatureCollection", "features": []}')
     with pytest.raises(ValueError, match="no features"):
         readers.read_geojson(spark, str(tmp_path / "empty.geojson"))
