@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import mix, n_parts, pack_planes, pieces, shingle_hashes, unpack_planes, word_hashes, words
+from .common import mix, n_parts, pack_planes, pieces, row_key, shingle_hashes, unpack_planes, word_hashes, words
 from .components import connected
 
 #: Sets of a group, so that a group and its union fit in a task. Larger groups are split by the id's hash.
@@ -150,7 +150,8 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         for b in batches:
             doc = b.column(0).to_numpy(zero_copy_only=False)
             for r, u in _flat(b, n):
-                s = range_hashes(u, num, den)
+                # 48 bits will do: a chance agreement only adds a candidate.
+                s = range_hashes(u, num, den) >> np.uint64(16)
                 hs.append(s)
                 ids.append(np.full(len(s), doc[r], np.int64))
                 held += len(s)
@@ -165,19 +166,17 @@ def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         own = np.unique(np.stack([first[~new], i[~new]], 1), axis=0) if (~new).any() else np.zeros((0, 2), np.int64)
         own = own[own[:, 0] != own[:, 1]]
         h, i = h[new], i[new]
-        b = (h >> np.uint64(40)) % np.uint64(buckets)
-        order = np.argsort(b, kind="stable")
-        h, i, b = h[order], i[order], b[order]
-        cut = np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
+        # Buckets are ranges of the sorted hashes, which are stored as differences.
+        cut = np.searchsorted(h, np.array([(k << 48) // buckets for k in range(buckets + 1)], np.uint64))
         ecut = np.linspace(0, len(own), buckets + 1).astype(int)
         yield pa.RecordBatch.from_arrays([
             pa.array(np.arange(buckets), pa.int32()),
-            pa.array([h[cut[k]:cut[k + 1]].tobytes() for k in range(buckets)], pa.binary()),
+            pa.array([pack_planes(np.diff(h[cut[k]:cut[k + 1]], prepend=np.uint64(0))) for k in range(buckets)], pa.binary()),
             pa.array([pack_planes(i[cut[k]:cut[k + 1]]) for k in range(buckets)], pa.binary()),
             pa.array([pack_planes(own[ecut[k]:ecut[k + 1]].reshape(-1)) for k in range(buckets)], pa.binary())], names=["bucket", "h", "i", "e"])
 
     def gather(key, df):
-        h = np.frombuffer(b"".join(df["h"]), np.uint64)
+        h = np.concatenate([np.cumsum(unpack_planes(x, np.uint64), dtype=np.uint64) for x in df["h"]])
         own = np.concatenate([unpack_planes(x, np.int64) for x in df["e"]]).reshape(-1, 2)
         if len(h):
             _, i, first, new = _runs(h, np.concatenate([unpack_planes(x, np.int64) for x in df["i"]]))
@@ -348,14 +347,16 @@ def _same_id(keys: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each class: the one whose id names it. Rows without an id stay."""
-    kept = classes(docs, n, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
-    # Rows that repeat the kept id are copies of it or its other texts; the first by text stays.
-    cols = docs.columns
-    named = named.withColumn("__h", F.xxhash64("text"))
-    best = named.groupBy("doc_id").agg(F.min("__h").alias("__m"), F.count(F.lit(1)).alias("__c"))
-    once = named.join(best.filter("__c = 1").select("doc_id"), "doc_id", "left_semi")
-    again = named.join(best.filter("__c > 1").select(F.col("doc_id").alias("__d"), "__m"), (F.col("doc_id") == F.col("__d")) & F.col("__h").eqNullSafe(F.col("__m"))).dropDuplicates(["doc_id"])
-    pick = [F.col(f"`{c}`") for c in cols]
+    """``docs`` with one document of each class: the one whose id names it. Rows without an id stay.
+
+    Of rows that repeat the kept id one stays, the first by a hash of its text. The choice is made on ids and hashes;
+    the texts are shuffled once, and those of repeated ids only if there are any."""
+    kept = classes(docs, n, num, den).filter("doc_id = component_id").select("doc_id").distinct()
+    rk = row_key(F.col("doc_id"), F.col("text"))
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), rk.alias("rk"))
+    chosen = cut_lineage(rows.join(kept, "doc_id").groupBy("doc_id").agg(F.min("rk").alias("__rk"), F.count(F.lit(1)).alias("c")))
+    one, many = chosen.filter("c = 1").select(F.col("doc_id").alias("__id")), cut_lineage(chosen.filter("c > 1").select("__rk"))
+    pick = [F.col(f"`{c}`") for c in docs.columns]
+    once = docs.join(one, F.col("doc_id") == F.col("__id"), "left_semi")
+    again = docs.withColumn("__k", rk).join(many, F.col("__k") == F.col("__rk")).dropDuplicates(["__k"])
     return once.select(*pick).union(again.select(*pick)).union(docs.filter("doc_id is null").select(*pick))
