@@ -32,8 +32,8 @@ from ..session import cut_lineage
 from .common import mix, n_parts, pack_planes, pieces, row_key, shingle_hashes, unpack_planes, word_hashes, words
 from .components import connected
 
-#: Sets of a group, so that a group and its union fit in a task. Larger groups are split by the id's hash.
-GROUP = 256
+#: Tokens of a group, so that a group and its union (8 bytes a token, a few times over) fit in a task.
+GROUP = 1 << 20
 #: Buckets of range hashes for each shuffle partition.
 BUCKETS = 8
 
@@ -260,12 +260,12 @@ def links(docs: DataFrame, keys: DataFrame, coarse: DataFrame, n: int, num: int,
     folded = keys.join(coarse.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("component", "k1", "k2", "low", "n_shingles").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("times"))
     folded = cut_lineage(folded)
     # A component that is one set (and its copies) has nothing to compare.
-    per = folded.groupBy("component").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("component", (F.col("c") > group).alias("large"))
+    per = folded.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("t")).filter("c > 1").select("component", (F.col("t") > group).alias("large"))
     # Large components are cut into bands of size; sizes that can link lie in one band or in two neighbouring ones.
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(math.log(den / num) * (1 + 1e-9))).cast("long")
     folded = folded.join(per, "component").withColumn("band", F.when(F.col("large"), band).otherwise(0))
-    of = folded.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / group).alias("of"))
-    parts = folded.groupBy("component", "band", "low").agg(F.ceil(F.count(F.lit(1)) / group).alias("split"))
+    of = folded.groupBy("component", "band").agg(F.ceil(F.sum("n_shingles") / group).alias("of"))
+    parts = folded.groupBy("component", "band", "low").agg(F.ceil(F.sum("n_shingles") / group).alias("split"))
     # Similar sets tend to share their smallest hash; a large band is dealt by it, a large deal by the id too.
     dealt = folded.join(of, ["component", "band"]).join(parts, ["component", "band", "low"]).withColumn("grp", F.xxhash64("band", F.pmod(F.xxhash64("low"), "of"), F.pmod(F.xxhash64("node"), "split")))
     dealt = dealt.select("component", "grp", F.when(F.col("large"), F.col("band")).alias("band"), "times", "k1", "k2", F.col("node").alias("doc_id"))
