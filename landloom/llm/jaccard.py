@@ -76,6 +76,11 @@ def cut_plan(size_class: int, num: int, den: int) -> tuple[int, int]:
     for spare in range(0, differ + 8):
         k = differ + 1 + spare
         mean = k * math.exp(-least / k) if k > 1 else 0.0
+        if mean > 50:  # many empty ranges are close to normal, and their exact sum would be long
+            if spare >= mean + 3 * math.sqrt(mean) or spare == differ + 7:
+                best = 0.0, k, spare
+                break
+            continue
         tail, term = 1.0, math.exp(-mean)
         for i in range(spare + 1):
             tail -= term
