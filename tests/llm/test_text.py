@@ -309,6 +309,30 @@ def test_compact_windows_by_brute_force():
     assert set(covered.values()) == {1}
 
 
+def smallest_words(words, functions=passages.HASHES):
+    """The 5-word shingles that are the smallest of a passage under each hash function."""
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    g, _ = passages.tokens(data, np.array([0, len(data)]))
+    low = [int(np.argmin(passages.mix(g + np.uint64(0xA0761D65 * (f + 1))) >> np.uint64(24))) for f in range(functions)]
+    return [words[i:i + 5] for i in low]
+
+
+def covered(rows, doc, a, b):
+    return set(range(a, b)) <= {i for r in rows if r.doc_id == doc for i in range(r.start_word, r.end_word)}
+
+
+@pytest.mark.parametrize("crowd", [1, 40])
+def test_passages_meet_beside_earlier_texts_with_their_smallest_shingles(spark, crowd):
+    rng = np.random.default_rng(8)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    p = some(50)
+    rows = [(k, " ".join(sum(([*some(60), *s] for s in smallest_words(p)), []) + some(60))) for k in range(crowd)]
+    rows += [(100 + k, " ".join([*some(70), *p, *some(70)])) for k in range(2 if crowd == 1 else 30)]
+    got = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {k for k, _ in rows if k > 100} and {r.with_doc for r in got} <= {k for k, _ in rows if k >= 100}
+    assert all(covered(got, k, 70, 120) for k, _ in rows if k > 100)
+
+
 # ---- mixing --------------------------------------------------------------------------------------
 
 def water(sizes):
