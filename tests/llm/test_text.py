@@ -325,12 +325,31 @@ def covered(rows, doc, a, b):
 def test_passages_meet_beside_earlier_texts_with_their_smallest_shingles(spark, crowd):
     rng = np.random.default_rng(8)
     some = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
-    p = some(50)
-    rows = [(k, " ".join(sum(([*some(60), *s] for s in smallest_words(p)), []) + some(60))) for k in range(crowd)]
-    rows += [(100 + k, " ".join([*some(70), *p, *some(70)])) for k in range(2 if crowd == 1 else 30)]
+    rows = []
+    for n in range(0, 20_000 if crowd == 1 else 1000, 1000):
+        p = some(50)
+        rows += [(n + k, " ".join(sum(([*some(60), *s] for s in smallest_words(p)), []) + some(60))) for k in range(crowd)]
+        rows += [(n + 100 + k, " ".join([*some(70), *p, *some(70)])) for k in range(2 if crowd == 1 else 30)]
     got = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id for r in got} == {k for k, _ in rows if k > 100} and {r.with_doc for r in got} <= {k for k, _ in rows if k >= 100}
-    assert all(covered(got, k, 70, 120) for k, _ in rows if k > 100)
+    assert {r.doc_id for r in got} == {k for k, _ in rows if k % 1000 > 100} and {r.with_doc % 1000 for r in got} <= set(range(100, 130))
+    assert all(covered(got, k, 70, 120) for k, _ in rows if k % 1000 > 100)
+
+
+def test_passages_are_verified_by_their_jaccard_similarity():
+    rng = np.random.default_rng(3)
+    for alphabet in (6, 40, 10**9):
+        x, y = (rng.integers(0, alphabet, n).astype(np.uint64) for n in (70, 90))
+        y[20:60] = x[10:50]
+        for drift in (-60, -30, -11, -10, -7, 0, 5, 65):
+            shared, together = passages.jaccard_at(x, y, drift, 12)
+            for i in range(59):
+                a, b = set(x[i:i + 12].tolist()), set(y[i - drift:i - drift + 12].tolist()) if 0 <= i - drift <= 78 else set()
+                assert (shared[i], together[i]) == ((len(a & b), len(a | b)) if b else (0, 1))
+    x, y = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (2_000, 200_000))
+    y[70_000:70_060] = x[500:560]
+    scattered = x[1_000:1_046]
+    y[np.arange(46) * 1_000 + 100_000] = scattered
+    assert passages.verify(x, y, 46, 0.8, [500 - 70_000]) == [(500, 560, 70_000)]
 
 
 # ---- mixing --------------------------------------------------------------------------------------
