@@ -352,6 +352,19 @@ def test_passages_are_verified_by_their_jaccard_similarity():
     assert passages.verify(x, y, 46, 0.8, [500 - 70_000]) == [(500, 560, 70_000)]
 
 
+def test_passages_of_one_text_back_to_back(spark):
+    rng = np.random.default_rng(11)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, at = [], {}
+    for k in range(60):
+        p, between = some(50), k % 6 * 10
+        rows.append((k, " ".join([*some(30), *p, *some(between), *p, *some(30)])))
+        at[k] = 30, 80 + between
+    got = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(covered(got, k, x, x + 50) or covered(got, k, y, y + 50) for k, (x, y) in at.items())
+    assert all(abs(r.start_word - r.with_word) >= 50 for r in got)
+
+
 # ---- mixing --------------------------------------------------------------------------------------
 
 def water(sizes):
