@@ -4,7 +4,7 @@ A list entry says that from a moment on a pattern is on a list (action ``add``)
 and pattern the entries become intervals that end where the next entry begins; a capture matches if one of its
 keys has an ``add`` interval holding its fetch time (start included, end excluded). Keys of a URL are its host,
 every parent domain of two labels and more, and the host with each leading part of the path, so a pattern is a
-domain (with its subdomains) or a host with a path prefix. Of entries of one list and pattern at the same moment
+domain (with its subdomains) or a host with a path prefix; the case of hosts does not count, that of paths does. Of entries of one list and pattern at the same moment
 ``remove`` wins; repeated entries count once.
 
 A null url, a url without host, a null fetch time: no match. Null patterns, dates or actions are no entries.
@@ -39,10 +39,13 @@ def url_keys(url: Column) -> Column:
 def validity(entries: DataFrame) -> DataFrame:
     """(list_name, pattern, valid_from, valid_to) from (list_name, pattern, action, since); an open end is null."""
     e = entries.filter("list_name is not null and pattern is not null and since is not null and action in ('add', 'remove')")
+    # Hosts have no case, paths do.
+    host = F.substring_index("pattern", "/", 1)
+    e = e.withColumn("pattern", F.concat(F.lower(host), F.substring(F.col("pattern"), F.length(host) + 1, F.length("pattern"))))
     e = e.groupBy("list_name", "pattern", "since").agg(F.max("action").alias("action"))  # 'remove' sorts last
     w = Window.partitionBy("list_name", "pattern").orderBy("since")
     return (e.withColumn("valid_to", F.lead("since").over(w)).filter("action = 'add'")
-            .select("list_name", F.lower("pattern").alias("pattern"), F.col("since").alias("valid_from"), "valid_to"))
+            .select("list_name", "pattern", F.col("since").alias("valid_from"), "valid_to"))
 
 
 def apply_lists(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:

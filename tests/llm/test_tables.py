@@ -93,6 +93,13 @@ def test_url_lists(spark):
     assert url_filters.apply_lists(caps, entries.limit(0)).filter("blocked").count() == 0 and url_filters.apply_lists(caps.limit(0), entries).count() == 0
 
 
+def test_url_lists_with_capitals(spark):
+    entries = spark.createDataFrame([("bad", "Site.com/News", "add", 1), ("old", "example.com", "add", 1), ("old", "Example.com", "remove", 5)], "list_name string, pattern string, action string, since long")
+    rows = [("http://SITE.com/News/1", 2, "bad"), ("http://site.com/news/1", 2, ""), ("http://example.com/A", 4, "old"), ("http://example.com/A", 6, "")]
+    out = url_filters.apply_lists(spark.createDataFrame(rows, "url string, fetched_at long, want string"), entries).collect()
+    assert len(out) == 4 and all(r.matched_lists == r.want for r in out)
+
+
 # ---- vectors -------------------------------------------------------------------------------------
 
 def test_nearest(spark):
