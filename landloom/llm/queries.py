@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, mixing, passages, pii, quality, suffix_dedup, url_filters, warc
+from . import ann, bpe, divergence, jaccard, mixing, passages, pii, quality, suffix_dedup, toxicity, url_filters, vector_codes, warc
 from .common import table
 from .registry import query
 
@@ -125,3 +125,51 @@ def op6(spark, d):
 @query("op9_compact_windows")
 def op9(spark, d):
     return passages.repeats(table(spark, d, "documents"), least_words=50, similarity=0.8)
+
+
+@query("op11_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*)::BIGINT AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::BIGINT AS total FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total)::BIGINT AS n FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+f AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT f.lang, f.source, f.term, f.n, 1 + (1000000000 * (f.n + 2)) // (sum(f.n) OVER (PARTITION BY f.lang, f.source)::BIGINT + 2 * v.v) AS p, 1 + (1000000000 * (f.total + 2)) // (v.n + 2 * v.v) AS q FROM f JOIN v ON f.lang = v.lang),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+s AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM s WHERE part = 'pair' OR rank <= 10""")
+def op11(spark, d):
+    return divergence.audit(table(spark, d, "documents"))
+
+
+@query("op12_char_ngram_toxicity")
+def op12(spark, d):
+    return toxicity.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def _rounds() -> str:
+    """Six rounds of assigning and moving, and the last assignment, spelt out."""
+    near = "SELECT p.vec_id, p.r, p.label, p.part, min({{'d': list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': c.entry}}) AS near, any_value(p.x) AS x FROM p JOIN c{0} c ON p.part = c.part GROUP BY 1, 2, 3, 4"
+    steps = []
+    for i in range(vector_codes.ROUNDS):
+        steps.append(f"a{i} AS MATERIALIZED ({near.format(i)})")
+        steps.append(f"s{i} AS (SELECT part, near.e AS entry, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS y FROM a{i})")
+        steps.append(f"m{i} AS (SELECT part, entry, list(m ORDER BY i) AS x FROM (SELECT part, entry, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS m FROM (SELECT part, entry, i, sum(y)::BIGINT AS s, count(*) AS n FROM s{i} GROUP BY ALL)) GROUP BY ALL)")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m ON m.part = c.part AND m.entry = c.entry)")
+    return ",\n".join([*steps, f"b AS ({near.format(vector_codes.ROUNDS)})"])
+
+
+@query("op13_product_codes", f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, r, label, u.part, x[u.part * (len(x) // 8) + 1:(u.part + 1) * (len(x) // 8)] AS x FROM k, (SELECT unnest(range(0, 8)) AS part) u),
+c0 AS (SELECT part, r - 1 AS entry, x FROM p WHERE r <= 16),
+{_rounds()},
+w AS (SELECT vec_id, r, label, string_agg(printf('%02x', near.e::INTEGER), '' ORDER BY part) AS code, sum(near.d)::BIGINT AS error FROM b GROUP BY ALL),
+h AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS y FROM c{vector_codes.ROUNDS}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h.codebooks_sha256 FROM w, h""")
+def op13(spark, d):
+    return vector_codes.compress(table(spark, d, "embeddings"))
