@@ -76,9 +76,9 @@ VECTORS = "vec_id long, embedding array<double>, label int, error string, code i
 
 def coded(rows):
     """Codes from (vec_id, vector, label) with Python's own integers."""
-    kept = [(i, [int(np.floor(4096 * np.float64(x))) if abs(x) < 1e300 else 4096 * int(x) for x in v], lab) for i, v, lab in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    kept = [(i, [int(np.floor(4096 * np.float64(x))) if abs(x) < 1e300 else 4096 * int(x) for x in v], lab) for i, v, lab in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, [x if x is not None else 0 for x in r[1] or []])) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     width = -(-max(len(v) for _, v, _ in kept) // 8) * 8
-    kept = sorted(((i, v + [0] * (width - len(v)), lab) for i, v, lab in kept), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    kept = [(i, v + [0] * (width - len(v)), lab) for i, v, lab in kept]
     part = lambda v, p: v[p * width // 8:(p + 1) * width // 8]
     books = [[part(v, p) for _, v, _ in kept[:16]] for p in range(8)]
     near = lambda x, c: min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), k) for k, e in enumerate(c))
