@@ -157,11 +157,12 @@ def weekly_timeline(events: DataFrame, origin: str = "2024-01-01 00:00:00") -> D
                  _count(F.col("action") == "APPROVE").alias("officer_approved")))
 
 
-def neighbor_union(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Distinct neighbour shapes of each target, the form in which later steps use their union
-    (subtracting each one equals subtracting the union). ``pairs``: a_id, shape_id."""
-    return (pairs.select("a_id", "shape_id").distinct().join(shapes.select("shape_id", "rings"), "shape_id")
-            .groupBy("a_id").agg(F.count("*").alias("n_shapes"), F.collect_list("rings").alias("neighbour_rings")))
+def neighbor_union(pairs: DataFrame, shapes: DataFrame, grid: float = 1e-9) -> DataFrame:
+    """Union of each target's neighbour shapes, a row a part: a_id, part_no, rings, area.
+    ``pairs``: a_id, shape_id; ``shapes``: shape_id, rings. See ``arrangement.union_parts``."""
+    from .arrangement import union_parts
+
+    return union_parts(pairs.select("a_id", "shape_id").distinct().join(shapes.select("shape_id", "rings"), "shape_id"), "a_id", grid)
 
 
 def largest_part(parts: DataFrame, key: str = "parcel_id") -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import rings as R
 from ..functions import scores as S
 from ..functions import status as ST
 from ..operators import aggregates as A
+from ..operators import arrangement as AR
 from ..operators import spatial as SP
 from ..operators import topology as T
 from ..operators import validation as VA
@@ -361,13 +362,30 @@ def f9b(spark, d):
     return T.clean_topology(parcels(spark, d), priority="parcel_id").select("parcel_id", "area_sqm")
 
 
-@query("a11_neighbor_union", with_views("""SELECT a.parcel_id AS a_id, count(*) AS n_shapes, round(sum((b.x1 - b.x0) * (b.y1 - b.y0)) * 1e9, 2) AS area FROM parcels a JOIN parcels b ON a.parcel_id <> b.parcel_id
+@query("a11_neighbor_union", with_views("""SELECT a.parcel_id AS a_id, count(*) AS n_parts, round(sum((b.x1 - b.x0) * (b.y1 - b.y0)) * 1e9, 2) AS area FROM parcels a JOIN parcels b ON a.parcel_id <> b.parcel_id
  AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 GROUP BY a.parcel_id""", "parcels"))
 def a11(spark, d):
     p = parcels(spark, d)
     u = A.neighbor_union(SP.overlap_pairs(p).withColumnRenamed("b_id", "shape_id"), p.select(F.col("parcel_id").alias("shape_id"), "rings"))
-    area = F.aggregate("neighbour_rings", F.lit(0.0), lambda s, r: s + R.planar_area(r))
-    return u.select("a_id", "n_shapes", F.round(area * 1e9, 2).alias("area"))
+    return u.groupBy("a_id").agg(F.count("*").alias("n_parts"), F.round(F.sum("area") * 1e9, 2).alias("area"))
+
+
+# The covered area of a sheet, column of pixels by column: what a box adds above all boxes that start below it.
+@query("a11_union_of_sheet", with_views("""WITH c AS (SELECT sheet_id, unnest(range(CAST(x AS BIGINT), CAST(x + bw AS BIGINT))) AS px, y AS lo, y + bh AS hi FROM plots),
+g AS (SELECT *, max(hi) OVER (PARTITION BY sheet_id, px ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM c)
+SELECT sheet_id, sum(greatest(0, hi - greatest(lo, coalesce(seen, lo)))) AS area FROM g GROUP BY sheet_id""", "plots"))
+def a11_sheet(spark, d):
+    u = AR.union_parts(boxes(spark, d).select("sheet_id", F.col("plot_no").alias("shape_id"), "rings"), "sheet_id", grid=1.0)
+    return u.groupBy("sheet_id").agg(F.sum("area").alias("area"))
+
+
+# All parcels as the neighbours of one target: rows of 40 that overlap, touch or leave gaps of less than a millionth of a degree.
+@query("a11_union_of_crowd", with_views("""WITH i AS (SELECT CAST(round(x0 * 1e9) AS BIGINT) AS a, CAST(round(x1 * 1e9) AS BIGINT) AS b, CAST(round(y0 * 1e9) AS BIGINT) AS c, CAST(round(y1 * 1e9) AS BIGINT) AS d FROM parcels),
+g AS (SELECT *, max(b) OVER (PARTITION BY c ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM i)
+SELECT 1 AS target, CAST(sum(CASE WHEN seen >= a THEN 0 ELSE 1 END) AS BIGINT) AS n_parts, round(sum((greatest(b, coalesce(seen, b)) - greatest(a, coalesce(seen, a))) * (d - c)) * 1e-9, 3) AS area FROM g""", "parcels"))
+def a11_crowd(spark, d):
+    u = AR.union_parts(parcels(spark, d).select(F.lit(1).alias("target"), F.col("parcel_id").alias("shape_id"), "rings"), "target")
+    return u.groupBy("target").agg(F.count("*").alias("n_parts"), F.round(F.sum("area") * 1e9, 3).alias("area"))
 
 
 @query("a16_largest_part", with_views("SELECT concat(CAST(sheet_id AS VARCHAR), '/', CAST(plot_no AS VARCHAR)) AS parcel_id, CAST(CASE WHEN bw > bh THEN 1 ELSE 0 END AS INT) AS part_no FROM plots", "plots"))
