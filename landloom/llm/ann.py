@@ -4,7 +4,9 @@ Vectors are packed into blocks of rows: the original floats plus an int8 code an
 meet candidate blocks in an equi-join on tile numbers; in a tile one integer-valued matrix product of the codes
 gives all distances at once, each with a bound of its quantisation error. What the bounds cannot rule out is
 computed again from the floats, in double precision, and each tile hands on its best k per query, which a
-bounded heap per query merges. The bounds are rigorous, so recall is 1.
+bounded heap per query merges. The bounds allow for the rounding of their own arithmetic, so recall is 1.
+
+Components of any finite size are fine; a distance beyond the largest double is infinite.
 
 Null vectors, vectors of zeros and vectors with null, NaN or infinite components take no part. Vectors are
 compared with vectors of their own length. Rows that repeat a vec_id are candidates of their own, save that a
@@ -54,26 +56,61 @@ def quantise(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes.astype(np.int8), scale, left
 
 
-def tile_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int):
-    """(query id, candidate id, distance) of every query's k nearest candidates of this tile."""
+#: What is smaller than this share of a tile's largest component counts as zero in the bounds.
+_SPECK = 1e-150
+#: Binary exponents beyond this are taken out before squares are summed.
+_FAR = 400
+#: Pairs whose distance is worked out at a time.
+_PAIRS = 1 << 16
+
+
+def _exponent(m: np.ndarray) -> np.ndarray:
+    e = np.frexp(np.abs(m).max(axis=1))[1]
+    return np.where(np.abs(e) > _FAR, e, 0)[:, None]
+
+
+def distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row pair, summed in order of the components. Very large and very small ones are
+    scaled by powers of two, which changes no bit of the others."""
+    first = _exponent(np.maximum(np.abs(q), np.abs(c)))
+    diff = np.ldexp(q, -first) - np.ldexp(c, -first)
+    second = _exponent(diff)
+    diff = np.ldexp(diff, -second)
+    d = np.zeros(len(q))
+    for j in range(q.shape[1]):
+        d += diff[:, j] ** 2
+    with np.errstate(over="ignore"):
+        return np.ldexp(np.ldexp(np.sqrt(d), second[:, 0]), first[:, 0])
+
+
+def bounds(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all distances of a tile, in units of a power of two above its components."""
+    e = -np.frexp(max(np.abs(q).max(), np.abs(c).max()))[1]
+    q, c = np.ldexp(q, e), np.ldexp(c, e)
+    q, c = np.where(np.abs(q) < _SPECK, 0.0, q), np.where(np.abs(c) < _SPECK, 0.0, c)
     qc, qs, ql = quantise(q)
     cc, cs, cl = quantise(c)
     # float32 products of int8 codes are exact up to a length of 1040; longer ones go in double.
     kind = np.float32 if q.shape[1] <= 1040 else np.float64
     dot = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64) * (qs[:, None] * cs[None, :])
-    near = np.sqrt(np.maximum(((qc * qs[:, None]) ** 2).sum(1)[:, None] + ((cc * cs[:, None]) ** 2).sum(1)[None, :] - 2 * dot, 0))
-    # Rounding of the double arithmetic itself, far above what it can be.
-    slack = ql[:, None] + cl[None, :] + 1e-6 * (1 + near)
-    low, high = near - slack, near + slack
+    square = ((qc * qs[:, None]) ** 2).sum(1)[:, None] + ((cc * cs[:, None]) ** 2).sum(1)[None, :]
+    near = np.sqrt(np.maximum(square - 2 * dot, 0))
+    # The difference of squares is off by at most some roundings of its operands, and its root by the root of that.
+    dim = q.shape[1]
+    rounding = np.sqrt(16 * (dim + 8) * np.finfo(np.float64).eps * square)
+    slack = (ql[:, None] + cl[None, :]) * (1 + 1e-9) + rounding + 4 * dim * _SPECK
+    return near - slack, near + slack
+
+
+def tile_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int):
+    """(query id, candidate id, distance) of every query's k nearest candidates of this tile."""
+    low, high = bounds(q, c)
     own = qid[:, None] == cid[None, :]
     high[own] = np.inf
     kk = min(k, high.shape[1])
     limit = np.partition(high, kk - 1, axis=1)[:, kk - 1]
     qi, ci = np.nonzero((low <= limit[:, None]) & ~own)
-    d = np.zeros(len(qi))
-    for j in range(q.shape[1]):
-        d += (q[qi, j] - c[ci, j]) ** 2
-    d = np.sqrt(d)
+    d = np.concatenate([distances(q[qi[i:i + _PAIRS]], c[ci[i:i + _PAIRS]]) for i in range(0, max(len(qi), 1), _PAIRS)])
     order = np.lexsort((cid[ci], d, qi))
     qi, ci, d = qi[order], ci[order], d[order]
     place = np.arange(len(qi)) - np.searchsorted(qi, qi)

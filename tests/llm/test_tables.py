@@ -6,6 +6,7 @@ import hashlib
 import io
 import os
 import struct
+from fractions import Fraction
 
 import corpus_pipeline
 import duckdb
@@ -139,3 +140,32 @@ def test_pipeline(spark, odd, none):
         if name in ("quality rules", "near duplicates"):
             assert docs.count() < before.count()
     assert docs.count() and "ids" in docs.columns and "text" not in docs.columns
+
+
+@pytest.mark.parametrize("vectors", [
+    [[1000.0 * (1 + k * 1e-9)] * 64 for k in range(400)], [[1e6 + k * 1e-9] * 64 for k in range(300)], [[1e6 * (1 + k * 1e-9)] * 33 for k in range(300)],
+    [[(-1) ** k * 1e200, k * 1e198] for k in range(200)], [[k * 1e-200, 1e-201, 0.0] for k in range(1, 120)], [[1.7e308 * (-1) ** k, -2.5e307 * (k % 7)] for k in range(40)],
+    [[1e200 * (k % 2), k * 1e-180, 1.0] for k in range(150)]], ids=["steps", "large", "larger", "huge", "tiny", "overflow", "mixed"])
+def test_bounds_hold_whatever_the_size(vectors):
+    """The tile's nearest are those of exact arithmetic, ties to the smaller id."""
+    v = np.array(vectors)
+    ids = np.arange(len(v))
+    q = ids[:: max(1, len(v) // 9)]
+    a, b, d = ann.tile_best(q, v[q], ids, v, 10)
+    for i in q:
+        exact = [sum((Fraction(x) - Fraction(y)) ** 2 for x, y in zip(v[i].tolist(), w, strict=True)) for w in v.tolist()]
+        want = sorted(exact[j] for j in ids if j != i)[:10]
+        got = [exact[j] for j in b[a == i]]
+        # Distances that agree in double precision may change places.
+        assert len(got) == 10 and all(abs(x - y) <= y * Fraction(1, 10**11) for x, y in zip(sorted(got), want, strict=True))
+        with np.errstate(over="ignore"):
+            assert all(np.isinf(x) or x <= y * (1 + 1e-9) for x, y in zip(d[a == i], d[a == i][1:], strict=False))
+
+
+def test_distances_keep_every_bit():
+    rng = np.random.default_rng(1)
+    q, c = rng.normal(size=(50, 40)), rng.normal(size=(50, 40))
+    plain = [np.sqrt(sum((x - y) ** 2 for x, y in zip(a, b, strict=True))) for a, b in zip(q, c, strict=True)]
+    assert ann.distances(q, c).tolist() == plain
+    assert ann.distances(np.ldexp(q, 700), np.ldexp(c, 700)).tolist() == np.ldexp(plain, 700).tolist()
+    assert ann.distances(np.array([[1e200, 0.0]]), np.array([[0.0, 0.0]])).tolist() == [1e200]
