@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import mix, n_parts, pack_planes, pieces, powers, prefix_hash, unpack_planes
+from .common import mix, n_parts, pack_planes, pieces, powers, prefix_hash, row_key, unpack_planes
 
 GRAM, SPAN = 16, 64
 #: Buckets of names for each shuffle partition.
@@ -39,9 +39,8 @@ _SETTLED, _ASKS, _OFFERS = 0, 1, 2
 
 
 def _ident(docs: DataFrame) -> tuple[Column, Column]:
-    """Two numbers that tell rows apart: the id (or the text's hash) and a short hash of the text."""
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
-    return F.coalesce(F.col("doc_id").cast("long"), h), h.bitwiseAND(F.lit(0xFFFF)).cast("int")
+    """Two numbers that tell rows apart: a 64-bit hash of id and text, and 16 more bits of the text."""
+    return row_key(F.col("doc_id"), F.col("text")), F.xxhash64(F.lit(7), F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
 
 def runs_of(data: np.ndarray, off: np.ndarray, length: int):
