@@ -14,6 +14,7 @@ tokens. Repeated rows are encoded each. Other columns come through unless they a
 ``decoded``, which are replaced. An empty table gives an empty result."""
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 
@@ -23,11 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-#: Words whose encoding a worker keeps, in two generations.
-KEPT_WORDS = 80_000
+#: Words whose encoding a worker keeps, in two generations, and the longest such word.
+KEPT_WORDS, KEPT_LENGTH = 80_000, 64
 _KEPT_PAIRS = 300_000
+#: Characters of text that are encoded before rows are handed on.
+STEP = 1 << 20
 _NEVER = 1 << 60
 _END = "</w>"
 
@@ -69,8 +72,8 @@ class Vocabulary:
                 text = name[:-len(_END)] + "\0" if name.endswith(_END) and len(name) > len(_END) else name
                 self.automaton.add_word(text, (i, len(text)))
         self.automaton.make_automaton()
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _border(self, token: int, side: int) -> tuple:
         """Tokens at the right (side 1) or left (side 0) end while ``token`` is built, with the merge that ends each."""
@@ -135,24 +138,24 @@ class Vocabulary:
             at -= length[at]
         return out[::-1]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
+    def _word(self, word: str) -> bytes:
         got = self.old.get(word)
         if got is None:
             letters = self.letters
-            ids = self.encode_word("".join([letters[b] for b in word.encode("utf-8", "surrogatepass")]))
-            got = np.array(ids, dtype="<u4").tobytes(), " ".join([self.names[i] for i in ids])
-        if len(self.young) >= KEPT_WORDS:
-            self.old, self.young = self.young, {}
-        self.young[word] = got
+            got = np.array(self.encode_word("".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])), dtype="<u4").tobytes()
+        if len(word) <= KEPT_LENGTH:
+            if len(self.young) >= KEPT_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[word] = got
         return got
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        found: list[tuple[bytes, str]] = []
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        found: list[bytes] = []
         parts = self.special_pattern.split(text) if self.special_pattern and "<|" in text else [text]
         for part in parts:
             if part in self.specials:
-                found.append((np.array([self.specials[part]], dtype="<u4").tobytes(), part))
+                found.append(np.array([self.specials[part]], dtype="<u4").tobytes())
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
@@ -163,7 +166,7 @@ class Vocabulary:
                     got = self._word(w)
                     get = self.young.get
                 found.append(got)
-        return b"".join([a for a, _ in found]), " ".join([b for _, b in found])
+        return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
         """The file names no decoder, so tokens are joined by spaces as they are."""
@@ -180,6 +183,18 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
+def _slices(texts):
+    """(first row, ids of the rows) for runs of rows of about ``STEP`` characters."""
+    i = 0
+    while i < len(texts):
+        rows, size, first = [], 0, i
+        while i < len(texts) and size < STEP:
+            rows.append(texts[i].as_py() or "")
+            size += len(rows[-1])
+            i += 1
+        yield first, rows
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = True) -> DataFrame:
     """``docs`` without the text column, with ``ids`` (binary, little-endian unsigned 32-bit integers) and ``decoded``."""
     rest = [f for f in docs.schema.fields if f.name not in (text, "ids", "decoded")]
@@ -189,19 +204,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = True)
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            i = 0
-            while i < len(texts):
-                ids, out, size, first = [], [], 0, i
-                while i < len(texts) and size < 4 << 20:
-                    s = texts[i].as_py() or ""
-                    a, b = v.encode(s)
-                    ids.append(a)
-                    out.append(b)
-                    size += len(s)
-                    i += 1
-                part = batch.slice(first, i - first)
-                cols = [part.column(part.schema.get_field_index(c)) for c in kept] + [pa.array(ids, pa.binary())] + [pa.array(out, pa.string())] * decoded
+            for first, rows in _slices(batch.column(batch.schema.get_field_index(text))):
+                ids = [v.encode(s) for s in rows]
+                part = batch.slice(first, len(ids))
+                cols = [part.column(part.schema.get_field_index(c)) for c in kept] + [pa.array(ids, pa.binary())]
+                if decoded:
+                    cols.append(pa.array([v.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(run, schema)
@@ -224,6 +232,22 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the text decoded from them."""
-    e = decode(encode(docs.select("doc_id", "text"), path, decoded=False), path)
-    return e.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id, n_tokens and the digests of the ids and of the text decoded from them.
+
+    Encoding and decoding are one step, so a task holds one worker with one vocabulary, and only digests leave it."""
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+
+    def run(batches):
+        v = vocabulary(path)
+        for batch in batches:
+            for first, rows in _slices(batch.column(batch.schema.get_field_index("text"))):
+                n, a, b = [], [], []
+                for s in rows:
+                    ids = v.encode(s)
+                    n.append(len(ids) // 4)
+                    a.append(sha(ids))
+                    b.append(sha(v.decode(ids).encode("utf-8")))
+                part = batch.slice(first, len(n))
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, StructType([docs.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]))

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -163,7 +164,8 @@ def test_bpe(odd, odd_rows, none):
     v = bpe.Vocabulary(VOCABULARY)
     texts = [r[1] or "" for r in odd_rows] + ["a<|endoftext|>b", "I'm we'LL don't ''s", "ΣΑΣ İ ½ ²", "a\x85b\xa0c d\x1ce", "</w> w</w>", "\0 a\0b", "é ä"]
     for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
-        ids, decoded = v.encode(text)
+        ids = v.encode(text)
+        decoded = v.decode(ids)
         assert np.frombuffer(ids, "<u4").tolist() == e.ids
         assert decoded == t.decode(e.ids, skip_special_tokens=False) == v.decode(ids)
     got = {str(r.doc_id) + str(r.n_tokens): r for r in bpe.digests(odd, VOCABULARY).collect()}
@@ -248,6 +250,20 @@ def test_suffix_dedup(odd, odd_rows, none):
     assert suffix_dedup.dedup(none, 200).count() == 0
 
 
+def test_suffix_dedup_tells_texts_of_one_id_apart(spark):
+    """Two texts under one id, the first 16 bits of whose hashes agree: only the one with a repeat loses bytes."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    twice = word(300)
+    tails = spark.range(3000).selectExpr("id", f"pmod(xxhash64(concat('{twice}{twice}', id)), 65536) a", f"pmod(xxhash64(concat('{word(900)}', id)), 65536) b").collect()
+    seen = {r.a: r.id for r in tails}
+    pair = next((seen[r.b], r.id) for r in tails if r.b in seen)
+    clean = re.sub(r"\d+$", "", spark.range(1).selectExpr(f"'{word(900)}' t").first().t)
+    rows = [(1, f"{twice}{twice}{pair[0]}"), (1, f"{clean}{pair[1]}"), (2, "short")]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 120).collect()}
+    assert got == {(1, len(rows[0][1])): 600, (1, len(rows[1][1])): 0, (2, 5): 0}
+
+
 def test_suffix_dedup_edges_of_repeats(spark):
     """Repeats that overlap others by different parts, so that few runs are equal as a whole."""
     rng = np.random.default_rng(1)
