@@ -94,7 +94,8 @@ def _training(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]
     """(doc_id, text, toxic) of the training rows, and the labels they take."""
     mine = lambda t: t.filter(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 1))
     known = mine(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))).filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return mine(docs.select("doc_id", "text")).join(known, "doc_id"), known
+    # Labels have no size bound, so they are not broadcast; texts are not sorted either.
+    return mine(docs.select("doc_id", "text")).join(known.hint("shuffle_hash"), "doc_id"), known
 
 
 def _gathered(batches):
