@@ -214,6 +214,59 @@ def match_descriptors(desc: DataFrame, ratio: float = 0.80, metric: str = "l2",
     return two.filter(F.col("d2").isNotNull() & (F.col("d1") < ratio * F.col("d2")))
 
 
+# Bits of a chunk of a code, and flipped bits that are looked up in it.
+CHUNK_BITS, FLIPS = 16, 1
+
+
+def code_chunks(embedding: Column) -> Column:
+    """Byte values as 16-bit integers, the form in which binary codes are searched."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(embedding) - 1) / 2).cast("int")),
+                       lambda i: F.element_at(embedding, 2 * i + 1).cast("int") + 256 * F.coalesce(F.try_element_at(embedding, 2 * i + 2), F.lit(0)).cast("int"))
+
+
+def code_distance(a: Column, b: Column) -> Column:
+    """Bits in which two lists of chunks differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+
+
+def code_candidates(codes: DataFrame, crowd: int = 1024) -> DataFrame:
+    """Pairs of a sheet that differ by at most ``FLIPS`` bits in some chunk, each once: sheet_id, src_id, tgt_id, d.
+
+    Targets are listed under each of their chunks; a source looks up its own chunks and those one bit away. A pair
+    that meets under several chunks is kept under the first of them, so no distinct is needed. A list of more than
+    ``crowd`` targets is dealt to several tasks, all of which the sources visit."""
+    where = F.posexplode("code").alias("c", "value")
+    tgt = codes.filter("side = 'tgt'").select("sheet_id", F.col("vec_id").alias("tgt_id"), F.col("code").alias("t"), where)
+    flips = [F.lit(0), *[F.lit(1 << i) for i in range(CHUNK_BITS)]]
+    src = codes.filter("side = 'src'").select("sheet_id", F.col("vec_id").alias("src_id"), F.col("code").alias("s"), where)
+    src = src.withColumn("value", F.explode(F.array(*[F.col("value").bitwiseXOR(f) for f in flips])))
+    lists = tgt.groupBy("sheet_id", "c", "value").agg(F.ceil(F.count("*") / crowd).cast("int").alias("salts"))
+    key = ["sheet_id", "c", "value"]
+    dealt = tgt.join(lists, key).withColumn("salt", F.pmod(F.xxhash64("tgt_id"), F.col("salts")).cast("int")).drop("salts")
+    asked = src.join(lists, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    near = F.zip_with("s", "t", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    met = asked.join(dealt, [*key, "salt"]).withColumn("apart", near)
+    first = F.array_position(F.transform("apart", lambda n: n <= FLIPS), True) - 1
+    return met.filter(first == F.col("c")).select("sheet_id", "src_id", "tgt_id", F.aggregate("apart", F.lit(0), lambda s, n: s + n).alias("d"))
+
+
+def match_codes(codes: DataFrame, ratio: float = 0.80, crowd: int = 1024) -> DataFrame:
+    """Matches of binary codes on large sheets without comparing all pairs: sheet_id, src_id, tgt_id, d1, d2.
+
+    ``codes``: sheet_id, vec_id, side ('src' | 'tgt') and code (equally many 16-bit chunks each). Two codes of m chunks that differ by less
+    than 2m bits differ by at most one in some chunk, so every pair nearer than that is a candidate. The result is
+    therefore exactly that of ``match_descriptors`` for Hamming codes, as far as ``d1 < ratio * 2m``; ``d2`` is the
+    runner-up's distance, or 2m if that is as far away or farther. Matches that lie farther apart are left to the exact search."""
+    limit = F.lit((FLIPS + 1)) * F.col("m")
+    w = Window.partitionBy("sheet_id", "src_id").orderBy("d", "tgt_id")
+    two = code_candidates(codes, crowd).withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
+    best = two.groupBy("sheet_id", "src_id").agg(F.max(F.when(F.col("rn") == 1, F.col("tgt_id"))).alias("tgt_id"), F.max(F.when(F.col("rn") == 1, F.col("d"))).alias("d1"), F.max(F.when(F.col("rn") == 2, F.col("d"))).alias("second"))
+    # A sheet with one target has no runner-up and no matches, as in the exact search.
+    sheets = codes.filter("side = 'tgt'").groupBy("sheet_id").agg(F.count("*").alias("n"), F.max(F.size("code")).alias("m")).filter("n > 1")
+    out = best.join(sheets, "sheet_id").withColumn("d2", F.least(F.coalesce("second", limit), limit))
+    return out.filter(F.col("d1") < ratio * F.col("d2")).select("sheet_id", "src_id", "tgt_id", "d1", "d2")
+
+
 # ---- robust homography ---------------------------------------------------------------------------
 
 def homography_from(src: np.ndarray, dst: np.ndarray) -> np.ndarray:

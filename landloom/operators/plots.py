@@ -1,10 +1,11 @@
 """Plots on a sheet: numbering, duplicate suppression, pixel statistics."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 # Shadow and canopy limits.
 SHADOW_BELOW, SHADOW_SHARE = 55, 0.18
@@ -52,14 +53,34 @@ def number_plots(plots: DataFrame, sheets: DataFrame, variant: str = "raster") -
     return numbered.drop("_along").withColumnRenamed("row_no", "plot_index")
 
 
-def suppress_duplicate_plots(plots: DataFrame) -> DataFrame:
+#: Undecided plots that one task settles; larger sheets are cut into strips.
+SETTLED_AT_ONCE = 50_000
+
+
+def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Plots of a strip that can be decided, from the largest down. ``state`` says of a rival outside
+    the strip whether it stays (1), goes (0) or is not known yet (-1); rivals inside are decided on the way."""
+    pdf = pdf.sort_values(["area", "plot_no"], ascending=[False, True], kind="stable")
+    inside, decided = set(pdf["plot_no"].tolist()), {}
+    for no, rivals in pdf.groupby("plot_no", sort=False):
+        states = [decided.get(b, -1) if b in inside else s for b, s in zip(rivals["big"].tolist(), rivals["state"].tolist(), strict=True)]
+        if 1 in states:
+            decided[no] = 0
+        elif -1 not in states:
+            decided[no] = 1
+    return pd.DataFrame({"sheet_id": pdf["sheet_id"].iloc[0], "plot_no": list(decided), "stays": list(decided.values())})
+
+
+def suppress_duplicate_plots(plots: DataFrame, at_once: int = SETTLED_AT_ONCE) -> DataFrame:
     """Greedy suppression by area: a plot goes when its centre lies within
     max(14, 0.18·w) × max(14, 0.18·h) of a larger plot that stays.
 
-    ``plots``: sheet_id, plot_no, cx, cy, bw, bh, area_px. Equal to the sequential rule, including chains:
-    a plot is settled once every larger plot in its reach is settled. Plots of equal centre and size are
-    first reduced to the largest, which decides for all of them. Conflicts come from a grid join whose
-    level follows the reach, so large reaches do not flood small cells."""
+    ``plots``: sheet_id, plot_no, cx, cy, bw, bh, area_px. Equal to the sequential rule, including chains.
+    Plots of equal centre and size are first reduced to the largest, which decides for all of them. Conflicts
+    come from a grid join whose level follows the reach, so large reaches do not flood small cells. A sheet's conflicts are
+    settled in one task from the largest plot down, so the number of jobs does not depend on the length of
+    chains. Sheets with more than ``at_once`` plots in conflict are cut into strips across their longer side; what a
+    strip cannot decide waits for its neighbours' border, so there are as many rounds as a chain changes strips."""
     rank = F.struct(F.col("area_px").alias("area"), (-F.col("plot_no")).alias("tie"))
     lead = plots.groupBy("sheet_id", "cx", "cy", "bw", "bh").agg(F.max(F.struct(rank.alias("r"), F.col("plot_no").alias("no"))).alias("b"))
     lead = lead.select("sheet_id", F.col("b.no").alias("plot_no"), F.col("b.r").alias("r"), "cx", "cy",
@@ -79,28 +100,29 @@ def suppress_duplicate_plots(plots: DataFrame) -> DataFrame:
     held = held.withColumn("gx", F.floor(F.col("bx") / s)).withColumn("gy", F.floor(F.col("by") / s))
     hit = look.join(held, ["sheet_id", "lv", "gx", "gy"]).filter(
         (F.col("r") < F.col("big_r")) & (F.abs(F.col("cx") - F.col("bx")) < F.col("rx")) & (F.abs(F.col("cy") - F.col("by")) < F.col("ry")))
-    open_edges = cut_lineage(hit.select("sheet_id", "plot_no", "big"))
-    undecided = cut_lineage(open_edges.select("sheet_id", "plot_no").distinct())
-    dropped = None
-    # Each round settles every plot whose larger rivals are all settled; rounds = longest chain.
-    while undecided.take(1):
-        rival = open_edges.join(undecided.withColumnRenamed("plot_no", "big").withColumn("_u", F.lit(1)), ["sheet_id", "big"], "left")
-        if dropped is not None:
-            rival = rival.join(dropped.withColumnRenamed("plot_no", "big").withColumn("_d", F.lit(1)), ["sheet_id", "big"], "left")
-        else:
-            rival = rival.withColumn("_d", F.lit(None).cast("int"))
-        state = rival.groupBy("sheet_id", "plot_no").agg(
-            F.max(F.when(F.col("_u").isNull() & F.col("_d").isNull(), 1).otherwise(0)).alias("beaten"),
-            F.max(F.coalesce("_u", F.lit(0))).alias("waiting"))
-        state = cut_lineage(state)
-        lost = state.filter("beaten = 1").select("sheet_id", "plot_no")
-        dropped = lost if dropped is None else dropped.unionByName(lost)
-        settled = state.filter("beaten = 1 or waiting = 0").select("sheet_id", "plot_no")
-        open_edges = cut_lineage(open_edges.join(settled, ["sheet_id", "plot_no"], "left_anti"))
-        undecided = cut_lineage(open_edges.select("sheet_id", "plot_no").distinct())
+    edges = cut_lineage(hit.select("sheet_id", "plot_no", F.col("r.area").alias("area"), "cx", "cy", "big"))
+    beaten = edges.groupBy("sheet_id", "plot_no").agg(F.first("cx").alias("cx"), F.first("cy").alias("cy"))
+    extent = beaten.groupBy("sheet_id").agg(F.ceil(F.count("*") / at_once).alias("n"), *[f(c).alias(f"{c}_{n}") for c in ("cx", "cy") for n, f in (("lo", F.min), ("hi", F.max))])
+    wide = (F.col("cx_hi") - F.col("cx_lo")) >= (F.col("cy_hi") - F.col("cy_lo"))
+    side = lambda n: F.when(wide, F.col(f"cx{n}")).otherwise(F.col(f"cy{n}"))
+    strip = F.floor((side("") - side("_lo")) / F.when(side("_hi") > side("_lo"), side("_hi") - side("_lo")) * F.col("n") * 0.999999)
+    # A rival without rivals of its own stays; the others are open.
+    rivals = beaten.select("sheet_id", F.col("plot_no").alias("big"), F.lit(-1).alias("_open"))
+    waiting = cut_lineage(edges.join(extent, "sheet_id").withColumn("strip", F.coalesce(strip, F.lit(0))).join(rivals, ["sheet_id", "big"], "left").select(
+        "sheet_id", "strip", "plot_no", "area", "big", F.coalesce("_open", F.lit(1)).alias("state")))
+    types = dict(plots.dtypes)
+    schema = f"sheet_id {types['sheet_id']}, plot_no {types['plot_no']}, stays int"
+    gone = None
+    while waiting.take(1):
+        settled = cut_lineage(spread(waiting, "sheet_id", "strip").groupBy("sheet_id", "strip").applyInPandas(_settle, schema))
+        lost = settled.filter("stays = 0").select("sheet_id", "plot_no")
+        gone = lost if gone is None else gone.unionByName(lost)
+        known = settled.select("sheet_id", F.col("plot_no").alias("big"), "stays")
+        rest = waiting.join(settled.select("sheet_id", "plot_no"), ["sheet_id", "plot_no"], "left_anti").join(known, ["sheet_id", "big"], "left")
+        waiting = cut_lineage(rest.select("sheet_id", "strip", "plot_no", "area", "big", F.coalesce("stays", "state").alias("state")))
     stay = lead.select("sheet_id", "plot_no")
-    if dropped is not None:
-        stay = stay.join(dropped, ["sheet_id", "plot_no"], "left_anti")
+    if gone is not None:
+        stay = stay.join(gone, ["sheet_id", "plot_no"], "left_anti")
     return plots.join(stay, ["sheet_id", "plot_no"], "left_semi")
 
 

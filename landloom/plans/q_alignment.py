@@ -7,7 +7,7 @@ from ..functions import projection as P
 from ..functions import rings as R
 from ..operators import alignment as AL
 from ..operators import plots as PL
-from ..session import spread
+from ..session import cut_lineage, spread
 from .q_geometry import CENTRED, boxes, centred
 from .q_relational import sheets
 from .registry import query
@@ -100,6 +100,48 @@ def j8(spark, d):
     return m.select("sheet_id", "src_id", "tgt_id", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"))
 
 
+# Binary codes of the vectors, all on one sheet: signs, and comparisons of neighbouring components; targets are seen a little displaced.
+CODES = """e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings WHERE len(embedding) = 64),
+g AS (SELECT vec_id, s, list_transform(range(1, 65), lambda i: s[i] + 0.04e0 * s[i % 64 + 1]) AS t FROM e),
+b AS (SELECT vec_id, list_concat(list_transform(s, lambda x: CAST(x > 0 AS INT)), list_transform(range(1, 65), lambda i: CAST(s[i] > s[i % 64 + 1] AS INT))) AS sb,
+  list_concat(list_transform(t, lambda x: CAST(x > 0 AS INT)), list_transform(range(1, 65), lambda i: CAST(t[i] > t[i % 64 + 1] AS INT))) AS tb FROM g),
+k AS (SELECT vec_id, list_transform(range(0, 8), lambda c: list_sum(list_transform(range(0, 16), lambda i: sb[16 * c + i + 1] << i))) AS s, list_transform(range(0, 8), lambda c: list_sum(list_transform(range(0, 16), lambda i: tb[16 * c + i + 1] << i))) AS t FROM b),
+d AS (SELECT x.vec_id AS src_id, y.vec_id AS tgt_id, list_sum(list_transform(list_zip(x.s, y.t), lambda z: bit_count(xor(CAST(z[1] AS BIGINT), CAST(z[2] AS BIGINT)))))::INTEGER AS d FROM k x, k y),
+r AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY d, tgt_id) AS rn, lead(d) OVER (PARTITION BY src_id ORDER BY d, tgt_id) AS d2 FROM d)"""
+
+
+def codes(spark, d):
+    e = load(spark, d, "embeddings")["embeddings"].filter(F.size("embedding") == 64).select("vec_id", F.col("embedding").cast("array<double>").alias("s"))
+    after = lambda v, i: F.element_at(v, i % 64 + 1)
+    moved = lambda s: F.transform(s, lambda x, i: x + 0.04 * after(s, i + 1))
+
+    def packed(v):
+        bits = lambda s: F.concat(F.transform(s, lambda x: (x > 0).cast("int")), F.transform(s, lambda x, i: (x > after(s, i + 1)).cast("int")))
+        byte = lambda b, c: F.aggregate(F.slice(b, c * 8 + 1, 8), F.struct(F.lit(0).alias("s"), F.lit(1).alias("w")),
+                                        lambda a, x: F.struct((a["s"] + x * a["w"]).alias("s"), (a["w"] * 2).alias("w")), lambda a: a["s"])
+        return R.let(R.let(R.let(v, bits), lambda b: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda c: byte(b, c))), AL.code_chunks)
+
+    one = lambda side, v: e.select(F.lit(1).alias("sheet_id"), "vec_id", F.lit(side).alias("side"), packed(v).alias("code"))
+    return spread(one("src", F.col("s")).union(one("tgt", R.let(F.col("s"), moved))), "side", "vec_id")
+
+
+@query("j8_match_codes", "WITH " + CODES + " SELECT 1 AS sheet_id, src_id, tgt_id, d AS d1, least(d2, 16)::INTEGER AS d2 FROM r WHERE rn = 1 AND d < 0.8e0 * least(d2, 16)")
+def j8_codes(spark, d):
+    return AL.match_codes(codes(spark, d))
+
+
+# How many of all matches the candidates hold, however far apart, and the share of all pairs that are compared.
+@query("j8_match_codes_recall", "WITH " + CODES + " SELECT count(*) AS matches, true AS recall_is_95, true AS compares_under_5_percent FROM r WHERE rn = 1 AND d < 0.8e0 * d2")
+def j8_recall(spark, d):
+    c = cut_lineage(codes(spark, d))
+    exact = c.select("sheet_id", "vec_id", "side", F.flatten(F.transform("code", lambda x: F.array(x % 256, F.shiftright(x, 8)))).alias("embedding"))
+    exact = AL.match_descriptors(exact, metric="hamming").select("sheet_id", "src_id", "tgt_id", F.lit(1).alias("m"))
+    pairs = AL.code_candidates(c).select("sheet_id", "src_id", "tgt_id", F.lit(1).alias("p"))
+    n = c.groupBy("sheet_id").agg(F.count(F.when(F.col("side") == "src", 1)).alias("s"), F.count(F.when(F.col("side") == "tgt", 1)).alias("t"))
+    both = pairs.join(exact, ["sheet_id", "src_id", "tgt_id"], "full").groupBy("sheet_id").agg(F.count("m").alias("matches"), F.count("p").alias("compared"), F.count(F.col("m") + F.col("p")).alias("held"))
+    return both.join(n, "sheet_id").select("matches", (F.col("held") >= 0.95 * F.col("matches")).alias("recall_is_95"), (F.col("compared") < 0.05 * F.col("s") * F.col("t")).alias("compares_under_5_percent"))
+
+
 @query("j13_boundary_support", with_views("""WITH fp AS (SELECT DISTINCT sheet_id, CAST(sx AS BIGINT) AS px, CAST(sy AS BIGINT) AS py FROM gcps),
 n AS (SELECT p.sheet_id, plot_no, count(fp.px) AS hit_px, CAST(any_value((bw + 5) * (bh + 5) - (bw - 5) * (bh - 5)) AS BIGINT) AS strip_px FROM plots p LEFT JOIN fp ON p.sheet_id = fp.sheet_id
   AND px BETWEEN x - 2 AND x + bw + 2 AND py BETWEEN y - 2 AND y + bh + 2 AND NOT (px BETWEEN x + 3 AND x + bw - 3 AND py BETWEEN y + 3 AND y + bh - 3) GROUP BY p.sheet_id, plot_no)
@@ -145,7 +187,12 @@ def w1b(spark, d):
     return PL.number_plots(centred(spark, d), sheets(spark, d), "skeleton").select("sheet_id", "plot_no", "plot_index")
 
 
-@query("w4_suppress_duplicate_plots")
+# The rule one plot after the other: a step takes the next plot of every sheet and the list of those that stay.
+@query("w4_suppress_duplicate_plots", with_views("WITH " + CENTRED + """, r AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY area_px DESC, plot_no) AS i FROM centred),
+k AS (SELECT * FROM (WITH RECURSIVE s(sheet_id, i, kept) AS (SELECT DISTINCT sheet_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(i BIGINT, x DOUBLE, y DOUBLE)[]) FROM r UNION ALL
+ SELECT s.sheet_id, r.i, CASE WHEN len(list_filter(s.kept, lambda k: abs(r.cx - k.x) < greatest(14e0, 0.18e0 * r.bw) AND abs(r.cy - k.y) < greatest(14e0, 0.18e0 * r.bh))) > 0 THEN s.kept ELSE list_append(s.kept, {'i': r.i, 'x': CAST(r.cx AS DOUBLE), 'y': CAST(r.cy AS DOUBLE)}) END
+ FROM s JOIN r ON r.sheet_id = s.sheet_id AND r.i = s.i + 1) SELECT sheet_id, unnest(arg_max(kept, i)) AS k FROM s GROUP BY sheet_id))
+SELECT r.sheet_id, r.plot_no, r.area_px FROM r JOIN k ON r.sheet_id = k.sheet_id AND r.i = k.k.i""", "plots"))
 def w4(spark, d):
     return PL.suppress_duplicate_plots(centred(spark, d)).select("sheet_id", "plot_no", "area_px")
 

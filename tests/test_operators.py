@@ -238,3 +238,69 @@ def test_strip_drawing_modes_agree(monkeypatch):
     sparse = AL._strip_blocks(ring, 2)
     assert dense[3] == sparse[3]
     assert set(zip(*(a.tolist() for a in dense[:3]))) == set(zip(*(a.tolist() for a in sparse[:3])))
+
+
+def greedy(plots):
+    """Plots that stay, one after the other by area."""
+    kept = []
+    for p in sorted(plots, key=lambda p: (-p[6], p[1])):
+        rx, ry = max(14.0, 0.18 * p[4]), max(14.0, 0.18 * p[5])
+        if not any(k[0] == p[0] and abs(p[2] - k[2]) < rx and abs(p[3] - k[3]) < ry for k in kept):
+            kept.append(p)
+    return {(k[0], k[1]) for k in kept}
+
+
+PLOTS = "sheet_id int, plot_no long, cx double, cy double, bw double, bh double, area_px double"
+
+
+@pytest.mark.parametrize("at_once", [50_000, 40, 7])
+def test_suppression_in_strips(spark, at_once):
+    rng = random.Random(at_once)
+    rows = [(rng.choice([1, 1, 1, 2]), i, float(rng.randint(0, 300)), float(rng.randint(0, 200)), float(rng.randint(5, 200)), float(rng.randint(5, 90)), float(rng.randint(1, 40))) for i in range(400)]
+    got = PL.suppress_duplicate_plots(spark.createDataFrame(rows, PLOTS), at_once).collect()
+    assert {(r["sheet_id"], r["plot_no"]) for r in got} == greedy(rows)
+    assert PL.suppress_duplicate_plots(spark.createDataFrame([], PLOTS)).collect() == []
+
+
+def test_suppression_of_a_long_chain_ends_in_few_jobs(spark):
+    """100 000 plots in a row, each in reach of the next larger one: every second one stays."""
+    i = F.col("id")
+    chain = spark.range(100_000).select(F.lit(1).alias("sheet_id"), i.alias("plot_no"), (i * 13.0).alias("cx"), F.lit(0.0).alias("cy"), F.lit(1.0).alias("bw"), F.lit(1.0).alias("bh"), (200_000.0 - i).alias("area_px"))
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = PL.suppress_duplicate_plots(chain).agg(F.count("*").alias("n"), F.sum(F.col("plot_no") % 2).alias("odd")).first()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (got["n"], got["odd"]) == (50_000, 0)
+    assert len(jobs) < 60
+
+
+def test_codes_match_as_far_as_all_pairs_do(spark):
+    rng = random.Random(8)
+    tgt = [[rng.randrange(65536) for _ in range(8)] for _ in range(300)]
+    src = []
+    for t in tgt[:200]:
+        s = list(t)
+        for _ in range(rng.randint(0, 30)):
+            s[rng.randrange(8)] ^= 1 << rng.randrange(16)
+        src.append(s)
+    src += [[0] * 8] * 3 + [tgt[5]]
+    tgt += [[0] * 8] * 40  # a crowded list, and a source with many equal targets
+    rows = [(1, i, "src", c) for i, c in enumerate(src)] + [(1, 1000 + i, "tgt", c) for i, c in enumerate(tgt)] + [(2, 1, "src", tgt[0]), (2, 2, "tgt", tgt[0]), (3, 1, "src", tgt[0])]
+    df = spark.createDataFrame(rows, "sheet_id int, vec_id int, side string, code array<int>")
+    d = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+    want = set()
+    for i, s in enumerate(src):
+        near = sorted((d(s, t), 1000 + j) for j, t in enumerate(tgt))
+        (d1, j), d2 = near[0], min(near[1][0], 16)
+        if d1 < 0.8 * d2:
+            want.add((1, i, j, d1, d2))
+    for crowd in (1024, 4):
+        assert {tuple(r) for r in AL.match_codes(df, crowd=crowd).collect()} == want
+        pairs = [tuple(r) for r in AL.code_candidates(df, crowd).collect()]
+        assert len(pairs) == len(set(pairs))
+    assert len(want) > 50
+
+
+def test_bytes_to_chunks(spark):
+    r = spark.sql("select array(1, 2, 255, 255, 7) e, array() none").select(AL.code_chunks(F.col("e")).alias("c"), AL.code_distance(F.array(F.lit(5)), F.array(F.lit(6))).alias("d")).first()
+    assert (r["c"], r["d"]) == ([513, 65535, 7], 2)
