@@ -15,6 +15,9 @@ from ..functions import rings as R
 from ..functions.projection import apply_affine, project_point
 from ..functions.scores import alignment_confidence, transform_ok_automatic, transform_ok_manual
 from ..session import cut_lineage, spread
+from .aggregates import largest_part
+from .splines import fit_tps, warp_rings
+from .topology import make_valid
 
 # Match minima, inlier limits and the structural search grid.
 ENGINE_LIMITS = {"min_matches": 10, "threshold": 5.0}
@@ -24,9 +27,6 @@ SEARCH_ROTATIONS = [-4.0, -2.0, 0.0, 2.0, 4.0]
 REFINE_SPAN, REFINE_DEGREES, REFINE_SHIFT, REFINE_STEPS = 0.03, 1.5, 12.0, 5
 DISTANCE_CAP, SCORE_SCALE, SCORE_LOW, SCORE_HIGH = 35.0, 25.0, 48.0, 98.8
 MIN_EDGE_POINTS, MAX_EDGE_POINTS, SOFT_FIT = 50, 2000, 65.0
-RIDGE = 1e-6
-# Largest dense spline system one task solves; see fit_tps.
-TPS_LIMIT = 2048
 # Most minimal samples drawn per sheet, and the confidence at which drawing stops earlier (fixed values).
 HYPOTHESES, CONFIDENCE = 4000, 0.995
 # Samples drawn between two looks at the confidence.
@@ -74,84 +74,6 @@ def warp_affine(parcels: DataFrame, fits: DataFrame, key: str = "sheet_id") -> D
     return out.withColumn("rings", F.when(F.col("m").isNull(), F.col("rings")).otherwise(apply_affine(F.col("rings"), F.col("m")))).drop("m")
 
 
-# ---- thin-plate splines --------------------------------------------------------------------------
-
-def solve_tps(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (n, 2) and plane (3, 2) of the ridged spline through the points, by least squares."""
-    n = len(src)
-    r = np.hypot(src[:, None, 0] - src[None, :, 0], src[:, None, 1] - src[None, :, 1])
-    system = np.zeros((n + 3, n + 3))
-    system[:n, :n] = np.where(r > 0, r ** 2 * np.log(np.where(r > 0, r, 1.0)), 0.0) + RIDGE * np.eye(n)
-    system[:n, n] = system[n, :n] = 1.0
-    system[:n, n + 1:] = src
-    system[n + 1:, :n] = src.T
-    values = np.zeros((n + 3, 2))
-    values[:n] = dst
-    sol = np.linalg.lstsq(system, values, rcond=None)[0]
-    return sol[:n], sol[n:]
-
-
-def fit_tps(gcps: DataFrame, key: str = "sheet_id") -> DataFrame:
-    """One coefficient row per sheet: method, plane (6 doubles), knots (sx, sy, wx, wy …).
-
-    The exact spline is a dense system in the number of points, so it is solved in one task for sheets
-    up to ``TPS_LIMIT`` points. Smaller sheets than three points and larger ones than the limit take the
-    least-squares fit over all their points (``method`` offset / affine), computed as distributed sums:
-    no point is dropped and no group is gathered beyond the limit."""
-    counts = gcps.groupBy(key).agg(F.count("*").alias("n"))
-    fit = counts.filter(F.col("n").between(3, TPS_LIMIT)).select(key)
-    key_type = dict(gcps.dtypes)[key]
-    dense = gcps.join(fit, key, "left_semi").select(key, "gcp_id", "sx", "sy", "tx", "ty")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("gcp_id")
-        src, dst = pdf[["sx", "sy"]].to_numpy(float), pdf[["tx", "ty"]].to_numpy(float)
-        w, plane = solve_tps(src, dst)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [len(pdf)], "method": ["thin_plate_spline"],
-                             "plane": [plane.T.ravel()], "knots": [np.hstack([src, w]).ravel()]})
-
-    splines = spread(dense, key).groupBy(key).applyInPandas(solve, f"{key} {key_type}, n bigint, method string, plane array<double>, knots array<double>")
-    other = fit_affine(gcps, key).filter(~F.col("n").between(3, TPS_LIMIT)).select(
-        key, "n", "method", F.array("m.tx", "m.a", "m.b", "m.ty", "m.c", "m.d").alias("plane"),
-        F.array().cast("array<double>").alias("knots"))
-    return splines.unionByName(other)
-
-
-def apply_tps(points: DataFrame, fits: DataFrame, key: str = "sheet_id", x: str = "x", y: str = "y",
-              chunk: int = 50_000) -> DataFrame:
-    """Points of a sheet pushed through its spline, as ``wx`` and ``wy``; unfitted sheets stay put.
-
-    A sheet's points are dealt out in chunks and each chunk meets one copy of the sheet's coefficients
-    (bounded by ``TPS_LIMIT`` knots), so coefficients do not travel with every point and a sheet that
-    holds a third of all points is spread over as many tasks as it has chunks."""
-    sizes = points.groupBy(key).agg(F.ceil(F.count("*") / chunk).cast("int").alias("_nb"))
-    dealt = points.join(sizes, key).withColumn("_blk", F.pmod(F.xxhash64(x, y), F.col("_nb")).cast("int")).drop("_nb")
-    coef = fits.select(key, "plane", "knots").join(sizes, key).withColumn(
-        "_blk", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb")
-    types = dict(points.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in points.columns) + ", wx double, wy double"
-    columns = points.columns
-
-    def warp(pts: pd.DataFrame, fit: pd.DataFrame) -> pd.DataFrame:
-        out = pts[columns].copy()
-        u, v = pts[x].to_numpy(float), pts[y].to_numpy(float)
-        if not len(fit) or not len(pts):
-            return out.assign(wx=u, wy=v)
-        p = np.asarray(fit["plane"].iloc[0], dtype=float)
-        q = np.asarray(fit["knots"].iloc[0], dtype=float).reshape(-1, 4)
-        wx, wy = p[0] + p[1] * u + p[2] * v, p[3] + p[4] * u + p[5] * v
-        step = max(1, 1_000_000 // max(1, len(q)))
-        for lo in range(0, len(u) if len(q) else 0, step):
-            k = slice(lo, lo + step)
-            r2 = (u[k, None] - q[None, :, 0]) ** 2 + (v[k, None] - q[None, :, 1]) ** 2
-            kern = 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1.0))
-            wx[k] += kern @ q[:, 2]
-            wy[k] += kern @ q[:, 3]
-        return out.assign(wx=wx, wy=wy)
-
-    return spread(dealt, key, "_blk").groupBy(key, "_blk").cogroup(spread(coef, key, "_blk").groupBy(key, "_blk")).applyInPandas(warp, schema)
-
-
 # ---- descriptor matching -------------------------------------------------------------------------
 
 def _two_best(d: np.ndarray, ids: np.ndarray):
@@ -678,22 +600,21 @@ def _winner(scores: DataFrame, cands: DataFrame, samples: DataFrame, key: str) -
 
 def align_parcels(parcels: DataFrame, gcps: DataFrame, key: str = "sheet_id") -> tuple[DataFrame, DataFrame]:
     """Parcels moved by their sheet's control points, status ALIGNED_DRAFT with a confidence of 0–1,
-    and the parcels that could not be aligned with the reason.
-
-    All control points count as inliers of their own fit; the error is what the fit leaves on them."""
-    fits = fit_affine(gcps, key)
-    left = gcps.join(fits.select(key, "m"), key)
-    ex = F.col("m.a") * F.col("sx") + F.col("m.b") * F.col("sy") + F.col("m.tx") - F.col("tx")
-    ey = F.col("m.c") * F.col("sx") + F.col("m.d") * F.col("sy") + F.col("m.ty") - F.col("ty")
-    err = left.groupBy(key).agg(F.sqrt(F.avg(ex * ex + ey * ey)).alias("rmse_px"), F.count("*").alias("n_gcps"))
-    conf = alignment_confidence(F.col("n_gcps"), F.col("n_gcps"), F.col("rmse_px"), F.col("n_gcps"))
-    sheet = fits.filter(F.col("method") != "identity").join(err, key).select(key, "m", "method", F.round(conf / 100.0, 4).alias("_conf"))
+    and the parcels that could not be aligned with the reason. ``parcel_id`` is unique.
+
+    From three points up a sheet takes the thin-plate spline through them, with two their mean offset. All
+    control points count as inliers of their own fit; the error is what the fit leaves on them. Rings that
+    the warp makes cross themselves are repaired, and of several parts the largest stays."""
+    fits = cut_lineage(fit_tps(gcps, key).filter("method <> 'identity'"))
+    sheet = fits.groupBy(key).agg(*[F.first(c).alias(c) for c in ("n", "method", "rmse")])
+    conf = alignment_confidence(F.col("n"), F.col("n"), F.col("rmse"), F.col("n"))
+    sheet = sheet.select(key, "method", F.round(conf / 100.0, 4).alias("_conf"))
     empty = F.coalesce(F.size("rings"), F.lit(0)) <= 0
-    joined = parcels.join(sheet, key, "left")
-    fail = F.when(empty, "empty coordinates").when(F.col("m").isNull(), "no control points")
-    marked = joined.withColumn("error", fail)
-    done = (marked.filter(F.col("error").isNull())
-            .withColumn("rings", apply_affine(F.col("rings"), F.col("m")))
-            .withColumn("alignment_status", F.lit("ALIGNED_DRAFT")).withColumn("alignment_confidence", F.col("_conf")))
+    marked = parcels.join(sheet, key, "left").withColumn("error", F.when(empty, "empty coordinates").when(F.col("method").isNull(), "no control points"))
     keep = [c for c in parcels.columns if c not in ("minx", "miny", "maxx", "maxy")]
+    moved = cut_lineage(warp_rings(marked.filter(F.col("error").isNull()), fits, key))
+    crossed = moved.filter(~F.forall("rings", R.is_simple)).select("parcel_id", "rings")
+    mended = largest_part(make_valid(crossed)).select("parcel_id", F.col("rings").alias("_mended"))
+    done = moved.join(mended, "parcel_id", "left").withColumn("rings", F.coalesce("_mended", "rings")).withColumns(
+        {"alignment_status": F.lit("ALIGNED_DRAFT"), "alignment_confidence": F.col("_conf")})
     return done.select(*keep, "method"), marked.filter(F.col("error").isNotNull()).select("parcel_id", key, "error")

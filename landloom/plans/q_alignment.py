@@ -7,11 +7,12 @@ from ..functions import projection as P
 from ..functions import rings as R
 from ..operators import alignment as AL
 from ..operators import plots as PL
+from ..operators import splines as SP
 from ..session import cut_lineage, spread
 from .q_geometry import CENTRED, boxes, centred
 from .q_relational import sheets
 from .registry import query
-from .views import load, view, with_views
+from .views import bent, load, view, with_views
 
 # Affine through a sheet's points from centred moments; the same sums as the Spark side.
 FIT = """mom AS (SELECT sheet_id, avg(sx) AS mx, avg(sy) AS my, avg(tx) AS mu, avg(ty) AS mv, var_pop(sx) AS vxx, var_pop(sy) AS vyy, covar_pop(sx, sy) AS vxy,
@@ -38,11 +39,17 @@ def f13(spark, d):
 @query("f14_tps_warp")
 def f14(spark, d):
     g = view(spark, d, "gcps")
-    w = AL.apply_tps(g.select("sheet_id", "gcp_id", F.col("sx").alias("x"), F.col("sy").alias("y"), "tx", "ty"), AL.fit_tps(g))
+    w = SP.apply_tps(g.select("sheet_id", "gcp_id", F.col("sx").alias("x"), F.col("sy").alias("y"), "tx", "ty"), SP.fit_tps(g))
     ex, ey = F.col("wx") - F.col("tx"), F.col("wy") - F.col("ty")
     return w.groupBy("sheet_id").agg(F.count("*").alias("n_points"), F.round(F.sqrt(F.avg(ex * ex + ey * ey)), 4).alias("rmse"))
 
 
+@query("f14_tps_known", with_views(f"""SELECT sheet_id, plot_no, round({bent("x", "y")[0]}, 4) AS wx, round({bent("x", "y")[1]}, 4) AS wy FROM plots""", "plots"))
+def f14_known(spark, d):
+    w = SP.apply_tps(view(spark, d, "plots").select("sheet_id", "plot_no", "x", "y"), SP.fit_tps(view(spark, d, "spline_gcps")))
+    return w.select("sheet_id", "plot_no", F.round("wx", 4).alias("wx"), F.round("wy", 4).alias("wy"))
+
+
 def matches(spark, d):
     """Control points as matches, every seventh one spoiled."""
     g = view(spark, d, "gcps")

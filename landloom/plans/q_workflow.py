@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 from ..functions import rings as R
 from ..operators import alignment as AL
 from ..operators import workflow as WF
-from .q_alignment import FIT
 from .q_geometry import DEG_AREA, SIDES, area_sql, ulpin_sql
 from .q_relational import REGISTRATIONS, REQUESTS, RESOLVED, registrations, requests
 from .registry import query
-from .views import parcels, view, with_views
+from .views import bent, parcels, view, with_views
 
 
 @query("m1_register_parcels", with_views("WITH " + REGISTRATIONS + f"""
@@ -73,15 +72,15 @@ def m4(spark, d):
         "parcel_id", "khasra_no", "owner_name", "village", "alignment_status", "ulpin", "area_sqm", "centroid_lat", "centroid_lon")
 
 
-@query("m5_align_parcels", with_views("WITH " + FIT + """, res AS (SELECT g.sheet_id, count(*) AS n, sqrt(avg((f.a * sx + f.b * sy + f.tx - g.tx) ^ 2 + (f.c * sx + f.d * sy + f.ty - g.ty) ^ 2)) AS rmse FROM gcps g JOIN fit f ON g.sheet_id = f.sheet_id GROUP BY g.sheet_id),
-cf AS (SELECT sheet_id, greatest(round((0.4e0 + 0.4e0 * greatest(0e0, 1e0 - rmse / (0.02e0 * 2896e0)) + 0.2e0 * least(1e0, n / 2e2)) * 1e2, 2), least(98.5e0, 88e0 + n * 2e0)) AS c FROM res)
-SELECT p.parcel_id, round(f.a * x0 + f.b * y0 + f.tx, 5) AS ux, 'ALIGNED_DRAFT' AS alignment_status, round(cf.c / 1e2, 4) AS alignment_confidence, CAST(NULL AS VARCHAR) AS error
-FROM parcels p JOIN fit f ON p.parcel_id % 128 = f.sheet_id JOIN cf ON cf.sheet_id = f.sheet_id
-UNION ALL SELECT parcel_id, NULL, NULL, NULL, 'no control points' FROM parcels WHERE parcel_id % 128 NOT IN (SELECT sheet_id FROM fit)""", "parcels", "gcps"))
+# Control points on a known spline, which the fit through them is then.
+@query("m5_align_parcels", with_views(f"""WITH cf AS (SELECT sheet_id, greatest(round((0.8e0 + 0.2e0 * least(1e0, count(*) / 2e2)) * 1e2, 2), least(98.5e0, 88e0 + count(*) * 2e0)) AS c FROM spline_gcps GROUP BY sheet_id)
+SELECT p.parcel_id, round({bent("x0", "y0")[0]}, 5) AS ux, round({bent("x1", "y1")[1]}, 5) AS vy, 'thin_plate_spline' AS method, 'ALIGNED_DRAFT' AS alignment_status, round(cf.c / 1e2, 4) AS alignment_confidence, CAST(NULL AS VARCHAR) AS error
+FROM parcels p JOIN cf ON cf.sheet_id = p.parcel_id % 128
+UNION ALL SELECT parcel_id, NULL, NULL, NULL, NULL, NULL, 'no control points' FROM parcels WHERE parcel_id % 128 NOT IN (SELECT sheet_id FROM cf)""", "parcels", "spline_gcps"))
 def m5(spark, d):
     p = parcels(spark, d).withColumn("sheet_id", F.col("parcel_id") % 128)
-    done, failed = AL.align_parcels(p, view(spark, d, "gcps"))
-    ok = done.select("parcel_id", F.round(F.col("rings")[0][0]["x"], 5).alias("ux"), "alignment_status", "alignment_confidence", F.lit(None).cast("string").alias("error"))
+    done, failed = AL.align_parcels(p, view(spark, d, "spline_gcps"))
+    ok = done.select("parcel_id", F.round(F.col("rings")[0][0]["x"], 5).alias("ux"), F.round(F.col("rings")[0][2]["y"], 5).alias("vy"), "method", "alignment_status", "alignment_confidence", F.lit(None).cast("string").alias("error"))
     return ok.unionByName(failed.select("parcel_id", "error"), allowMissingColumns=True)
 
 

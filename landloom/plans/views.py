@@ -9,6 +9,21 @@ from ..functions.rings import rect_rings
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+
+
+def bend(x: str, y: str) -> str:
+    """A thin-plate surface over the corners of a 1200 x 900 sheet, whose weights have no moments."""
+    def at(sign, a, b):
+        r2 = f"(({x} - {a}) * ({x} - {a}) + ({y} - {b}) * ({y} - {b}))"
+        return f"{sign} CASE WHEN {r2} > 0 THEN 5e-1 * {r2} * ln({r2}) ELSE 0e0 END"
+    return "2e-5 * (" + " ".join(at(*c) for c in (("", "0e0", "0e0"), ("-", "1.2e3", "0e0"), ("+", "1.2e3", "9e2"), ("-", "0e0", "9e2"))) + ")"
+
+
+def bent(x: str, y: str) -> tuple[str, str]:
+    """Where the known spline takes a place of a sheet."""
+    return (f"1.02e0 * {x} - 3.0e-2 * {y} + 1.2e1 + {bend(x, y)}", f"3.0e-2 * {x} + 9.8e-1 * {y} - 7.0e0 - {bend(x, y)}")
+
+
 VIEW_SQL = {
     "parcels": """
 SELECT i AS parcel_id, CASE WHEN i % 7 = 0 THEN concat(CAST(100 + i AS STRING), '/1') ELSE CAST(100 + i AS STRING) END AS khasra_no,
@@ -30,6 +45,11 @@ SELECT l_suppkey AS sheet_id, concat(CAST(l_orderkey AS STRING), '-', CAST(l_lin
   l_quantity * 2.0e1 AS sx, (l_partkey % 1000) * 1.0e0 AS sy,
   1.02e0 * (l_quantity * 2.0e1) - 3.0e-2 * (l_partkey % 1000) + 1.2e1 + l_tax AS tx,
   3.0e-2 * (l_quantity * 2.0e1) + 9.8e-1 * (l_partkey % 1000) - 7.0e0 - l_discount AS ty FROM {lineitem}""",
+    # Control points on the known spline: those above, and the corners of every sheet.
+    "spline_gcps": f"""
+SELECT sheet_id, gcp_id, sx, sy, {bent("sx", "sy")[0]} AS tx, {bent("sx", "sy")[1]} AS ty FROM (
+ SELECT l_suppkey AS sheet_id, concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS gcp_id, l_quantity * 2.0e1 AS sx, (l_partkey % 1000) * 1.0e0 AS sy FROM {{lineitem}}
+ """ + " ".join(f"UNION ALL SELECT s_suppkey, 'corner {i}', {x}, {y} FROM {{supplier}}" for i, (x, y) in enumerate((("0e0", "0e0"), ("1.2e3", "0e0"), ("1.2e3", "9e2"), ("0e0", "9e2")))) + ") t",
     "survey_events": """
 SELECT event_id, ts, user_id AS parcel_id, user_id % 10 AS batch_id,
   CASE event_type WHEN 'view' THEN 'DRAFT_PUT' WHEN 'click' THEN 'DRAFT_DISCARD' WHEN 'signup' THEN 'SUBMIT' WHEN 'purchase' THEN 'APPROVE' ELSE 'FAIL' END AS action, value FROM {events}""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from landloom.functions import rings as R
 from landloom.operators import alignment as AL
+from landloom.operators import splines
 from landloom.operators import plots as PL
 from landloom.operators import spatial as SP
 from landloom.operators import topology as T
@@ -145,7 +146,7 @@ def test_affine_offset_and_tps(spark):
     fit = {r["sheet_id"]: r for r in AL.fit_affine(g).collect()}
     assert fit[1]["method"] == "affine" and fit[1]["m"]["a"] == pytest.approx(2) and fit[1]["m"]["ty"] == pytest.approx(-1)
     assert fit[2]["method"] == "offset" and fit[3]["method"] == "identity"
-    warped = AL.apply_tps(g.select("sheet_id", "gcp_id", F.col("sx").alias("x"), F.col("sy").alias("y"), "tx", "ty"), AL.fit_tps(g), chunk=5)
+    warped = splines.apply_tps(g.select("sheet_id", "gcp_id", F.col("sx").alias("x"), F.col("sy").alias("y"), "tx", "ty"), splines.fit_tps(g), chunk=5)
     for r in warped.filter("sheet_id = 1").collect():
         assert r["wx"] == pytest.approx(r["tx"], abs=1e-4) and r["wy"] == pytest.approx(r["ty"], abs=1e-4)
 
