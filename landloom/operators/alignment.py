@@ -611,10 +611,11 @@ def align_parcels(parcels: DataFrame, gcps: DataFrame, key: str = "sheet_id") ->
     sheet = sheet.select(key, "method", F.round(conf / 100.0, 4).alias("_conf"))
     empty = F.coalesce(F.size("rings"), F.lit(0)) <= 0
     marked = parcels.join(sheet, key, "left").withColumn("error", F.when(empty, "empty coordinates").when(F.col("method").isNull(), "no control points"))
-    keep = [c for c in parcels.columns if c not in ("minx", "miny", "maxx", "maxy")]
+    given = ("alignment_status", "alignment_confidence")
+    keep = [c for c in parcels.columns if c not in ("minx", "miny", "maxx", "maxy", *given)]
     moved = cut_lineage(warp_rings(marked.filter(F.col("error").isNull()), fits, key))
     crossed = moved.filter(~F.forall("rings", R.is_simple)).select("parcel_id", "rings")
     mended = largest_part(make_valid(crossed)).select("parcel_id", F.col("rings").alias("_mended"))
     done = moved.join(mended, "parcel_id", "left").withColumn("rings", F.coalesce("_mended", "rings")).withColumns(
         {"alignment_status": F.lit("ALIGNED_DRAFT"), "alignment_confidence": F.col("_conf")})
-    return done.select(*keep, "method"), marked.filter(F.col("error").isNotNull()).select("parcel_id", key, "error")
+    return done.select(*keep, *given, "method"), marked.filter(F.col("error").isNotNull()).select("parcel_id", key, "error")
