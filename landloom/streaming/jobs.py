@@ -16,9 +16,9 @@ DRAFT_TTL_HOURS = 24
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_available(stream: DataFrame, mode: str, write, name: str) -> None:
-    """Run a stream over everything that is there now and stop. ``write(df, batch_id)`` must be
-    idempotent per batch, since a batch is replayed after a failure."""
+def run_available(stream: DataFrame, mode: str, write, name: str) -> list:
+    """Run a stream over everything that is there now and stop; gives the progress of its batches. ``write(df, batch_id)``
+    must be idempotent per batch, since a batch is replayed after a failure."""
     spark = stream.sparkSession
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -26,6 +26,7 @@ def run_available(stream: DataFrame, mode: str, write, name: str) -> None:
         q = (stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True)
              .option("checkpointLocation", run_dir(spark, f"{name}-checkpoint")).start())
         q.awaitTermination()
+        return q.recentProgress
     finally:
         if before is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
@@ -50,43 +51,62 @@ def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
 # ---- drafts --------------------------------------------------------------------------------------
 
 class DraftProcessor(StatefulProcessor):
-    """Keeps the live draft of a key. State is one row per key; the 24-hour rule is applied by event
-    time when the key is next heard of, so the result does not depend on processing time."""
+    """Keeps the live draft of a key, one row a key, until an event-time timer says that it is over 24 hours old.
+
+    The watermark trails the newest event by the life of a draft, so whatever it has passed has expired. The timer of a key
+    stands just after its newest event; when it fires all that is known of the key goes, and a live draft is reported as
+    ended. Events that come for such a key later and are older still lie behind the watermark and are dropped by Spark;
+    they could only name drafts that have expired too. Nothing depends on processing time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.draft = handle.getValueState("draft", "event_id bigint, ts timestamp, value double")
-        self.seen = handle.getValueState("seen", "event_id bigint, ts timestamp")
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "event_id bigint, ts timestamp, ms bigint, value double, live boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last = self.seen.get() if self.seen.exists() else None
-        live = self.draft.get() if self.draft.exists() else None
         # One running best at a time: the group is never held together.
         best = None
-        newest = None
         for pdf in rows:
             top = pdf.sort_values(["ts", "event_id"]).iloc[-1]
             if best is None or (top["ts"], top["event_id"]) > (best["ts"], best["event_id"]):
                 best = top
-        if best is not None and (last is None or (best["ts"], int(best["event_id"])) > (pd.Timestamp(last[1]), last[0])):
-            newest = best
-            self.seen.update((int(best["event_id"]), best["ts"].to_pydatetime()))
-            if best["action"] == "DRAFT_PUT":
-                live = (int(best["event_id"]), best["ts"].to_pydatetime(), float(best["value"]))
-                self.draft.update(live)
-            else:
-                live = None
-                self.draft.clear()
-        if newest is not None:
-            yield pd.DataFrame({"parcel_id": [key[0]], "event_id": [int(newest["event_id"])], "ts": [newest["ts"]],
-                                "value": [live[2] if live else None], "live": [live is not None]})
+        if best is None:
+            return
+        last = self.newest.get() if self.newest.exists() else None
+        if last is not None:
+            if (best["ts"], int(best["event_id"])) <= (pd.Timestamp(last[1]), last[0]):
+                return
+            self.handle.deleteTimer(last[2] + 1)
+        live = best["action"] == "DRAFT_PUT"
+        value = float(best["value"]) if live and pd.notna(best["value"]) else None
+        ms = int(best["ms"])
+        self.newest.update((int(best["event_id"]), best["ts"].to_pydatetime(), ms, value, live))
+        self.handle.registerTimer(ms + 1)
+        yield _draft_row(key, best["event_id"], best["ts"], value, live)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.newest.get() if self.newest.exists() else None
+        if last is None or last[2] >= expiredTimerInfo.getExpiryTimeInMs():
+            return
+        self.newest.clear()
+        if last[4]:
+            yield _draft_row(key, last[0], pd.Timestamp(last[1]), None, False)
 
     def close(self) -> None:
         pass
 
 
+def _draft_row(key, event_id, ts, value, live) -> pd.DataFrame:
+    return pd.DataFrame({"parcel_id": [key[0]], "event_id": [int(event_id)], "ts": [ts], "value": [value], "live": [bool(live)]})
+
+
 DRAFT_OUT = "parcel_id bigint, event_id bigint, ts timestamp, value double, live boolean"
 
 
+def _draft_events(events: DataFrame) -> DataFrame:
+    """Events of drafts; those without a parcel, an id or a time cannot be put in order and are left out."""
+    return events.filter(F.col("action").isin("DRAFT_PUT", "DRAFT_DISCARD")).dropna(subset=["parcel_id", "event_id", "ts"])
+
+
 def _newest_per_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Map-side combine: only the newest event of a parcel in each Arrow chunk goes on to the state."""
     for pdf in batches:
@@ -94,19 +114,18 @@ def _newest_per_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 
 def draft_changes(events: DataFrame) -> DataFrame:
-    """Draft state per parcel after each batch that mentions it. ``events``: parcel_id, event_id, ts,
-    action (DRAFT_PUT / DRAFT_DISCARD count), value."""
-    e = events.filter(F.col("action").isin("DRAFT_PUT", "DRAFT_DISCARD")).select(
-        "parcel_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "action", "value")
-    thin = e.mapInPandas(_newest_per_chunk, e.schema)
+    """Draft state per parcel after each batch that mentions it, and once more, not live, when a draft expires. ``events``:
+    parcel_id, event_id, ts, action (DRAFT_PUT / DRAFT_DISCARD count), value."""
+    e = _draft_events(events).select("parcel_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "action", "value")
+    e = e.withColumn("ms", F.unix_millis("ts"))
+    thin = e.mapInPandas(_newest_per_chunk, e.schema).withWatermark("ts", f"{DRAFT_TTL_HOURS} hours")
     return thin.groupBy("parcel_id").transformWithStateInPandas(
-        statefulProcessor=DraftProcessor(), outputStructType=DRAFT_OUT, outputMode="update", timeMode="none")
+        statefulProcessor=DraftProcessor(), outputStructType=DRAFT_OUT, outputMode="update", timeMode="eventTime")
 
 
 def draft_state(events: DataFrame, as_of=None) -> DataFrame:
     """Batch twin: live draft per parcel, not older than 24 h at ``as_of`` (default: the last event)."""
-    drafts = events.filter(F.col("action").isin("DRAFT_PUT", "DRAFT_DISCARD"))
-    last = drafts.groupBy("parcel_id").agg(
+    last = _draft_events(events).groupBy("parcel_id").agg(
         F.max_by(F.struct("event_id", "ts", "action", "value"), F.struct("ts", "event_id")).alias("l")).select("parcel_id", "l.*")
     return _live(last.filter("action = 'DRAFT_PUT'"), events, as_of)
 
@@ -124,7 +143,8 @@ def _live(drafts: DataFrame, events: DataFrame, as_of) -> DataFrame:
 def run_draft_state(stream: DataFrame, events: DataFrame, as_of=None) -> DataFrame:
     """Run the draft stream to the end and give the live drafts, as draft_state does."""
     out = run_to_table(draft_changes(stream), "update", "drafts")
-    last = out.groupBy("parcel_id").agg(F.max_by(F.struct("event_id", "ts", "value", "live"), F.struct("ts", "event_id")).alias("l")).select("parcel_id", "l.*")
+    # The end of a draft carries its event, so of two equal events the one that is over is the later.
+    last = out.groupBy("parcel_id").agg(F.max_by(F.struct("event_id", "ts", "value", "live"), F.struct("ts", "event_id", ~F.col("live"))).alias("l")).select("parcel_id", "l.*")
     return _live(last.filter("live"), events, as_of)
 
 
