@@ -7,6 +7,7 @@ from ..functions import rings as R
 from ..functions import scores as S
 from ..operators import relational as RL
 from ..sources import readers as RD
+from ..session import run_dir
 from ..sources import writers as WR
 from .registry import query
 from .views import load, parcels, view, with_views
@@ -52,6 +53,23 @@ def s2(spark, d):
     return RD.profile_documents(docs).select("path", "type", F.col("features_count").cast("bigint").alias("features_count"), "parsed_successfully")
 
 
+@query("s3_profile_rasters", with_views("""SELECT CAST(floor(parcel_id / 50) AS BIGINT) AS doc, CASE WHEN floor(parcel_id / 50) % 7 <> 3 THEN CAST(count(*) AS INT) END AS width,
+ CASE WHEN floor(parcel_id / 50) % 7 <> 3 THEN CAST(1 + floor(parcel_id / 50) % 3 AS INT) END AS height,
+ CASE WHEN floor(parcel_id / 50) % 7 <> 3 THEN CASE WHEN floor(parcel_id / 50) % 2 = 0 THEN 3 ELSE 1 END END AS channels FROM parcels GROUP BY floor(parcel_id / 50)""", "parcels"))
+def s3(spark, d):
+    # A picture of each fifty parcels, a pixel a parcel, in lines of grey or colour; some files are no pictures.
+    i, k = F.col("parcel_id"), F.col("doc")
+    value = (i % 256).cast("string")
+    rows = parcels(spark, d).select(F.floor(i / PER_DOC).alias("doc"), "parcel_id", F.when(F.floor(i / PER_DOC) % 2 == 0, F.concat_ws(" ", value, value, value)).otherwise(value).alias("t"))
+    docs = rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("parcel_id", "t"))), lambda s: s["t"]), " ").alias("line"), F.count("*").alias("w"))
+    h = 1 + k % 3
+    head = F.concat(F.when(k % 7 == 3, "Q").otherwise("P"), F.when(k % 2 == 0, "3").otherwise("2"), F.lit("\n# parcels\n"), F.col("w").cast("string"), F.lit(" "), h.cast("string"), F.lit("\n255"))
+    folder = run_dir(spark, "pictures")
+    docs.select("doc", F.concat_ws("\n", head, F.array_join(F.array_repeat("line", h.cast("int")), "\n")).alias("value")).write.partitionBy("doc").text(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return RD.profile_raster_headers(files).select(F.regexp_extract("path", r"/doc=(\d+)/", 1).cast("bigint").alias("doc"), "width", "height", "channels")
+
+
 @query("s4_decode_geometry", with_views("""SELECT parcel_id, CASE WHEN parcel_id % 11 = 0 THEN 0 WHEN parcel_id % 5 = 4 THEN -1 WHEN parcel_id % 5 = 3 THEN 2 ELSE 1 END AS n_parts,
  CASE WHEN parcel_id % 11 <> 0 AND parcel_id % 5 <> 4 THEN x0 END AS first_x, CASE WHEN parcel_id % 11 <> 0 AND parcel_id % 5 <> 4 THEN y1 END AS third_y, parcel_id % 11 <> 0 AND parcel_id % 5 = 4 AS failed FROM parcels""", "parcels"))
 def s4(spark, d):
@@ -135,10 +153,12 @@ def s7(spark, d):
 @query("s8_write_geojson", with_views("""SELECT parcel_id, khasra_no, 'Feature' AS type, CAST(parcel_id AS VARCHAR) AS id, x1 AS second_x, alignment_confidence, TRUE AS null_kept FROM parcels""", "parcels"))
 def s8(spark, d):
     p = parcels(spark, d).withColumns({c: F.lit(None).cast(t) for c, t in (("ulpin", "string"), ("area_sqm", "double"), ("centroid_lat", "double"), ("centroid_lon", "double"))})
-    f = WR.parcel_features(p)
-    back = F.from_json("value", "type string, geometry struct<coordinates:array<array<array<double>>>>, properties struct<id:string,alignment_confidence:double>")
-    return f.select("parcel_id", "khasra_no", back.alias("f"), F.col("value").contains('"ulpin":null').alias("null_kept")).select(
-        "parcel_id", "khasra_no", "f.type", "f.properties.id", F.col("f.geometry.coordinates")[0][1][0].alias("second_x"), "f.properties.alignment_confidence", "null_kept")
+    folder = run_dir(spark, "features")
+    WR.write_geojson(WR.parcel_features(p), folder)
+    back = F.from_json("value", "type string, geometry struct<coordinates:array<array<array<double>>>>, properties struct<id:string,khasra_no:string,alignment_confidence:double>")
+    f = spark.read.text(folder).select(back.alias("f"), F.col("value").contains('"ulpin":null').alias("null_kept"))
+    return f.select(F.col("f.properties.id").cast("bigint").alias("parcel_id"), "f.properties.khasra_no", "f.type", "f.properties.id",
+                    F.col("f.geometry.coordinates")[0][1][0].alias("second_x"), "f.properties.alignment_confidence", "null_kept")
 
 
 @query("s8_write_aligned_layer", with_views("""SELECT sheet_id, plot_no, CASE WHEN confidence_score >= 85 THEN 'VERIFIED_CLEAR' WHEN confidence_score >= 60 THEN 'OCCLUDED' ELSE 'GOVT_ILLEGAL' END AS computed,
@@ -163,7 +183,9 @@ def s9(spark, d):
     k = F.col("s_suppkey")
     sheets = load(spark, d, "supplier")["supplier"].select(k.alias("sheet_id"), (k % 50).alias("inliers"), (k % 60).alias("matches"), F.lit(2.0).alias("rmse_px"))
     p = view(spark, d, "plots").withColumn("confidence_band", S.band(F.col("confidence_score")))
-    return WR.sheet_summary(p, sheets).select("sheet_id", "total_plots", "plots_high_confidence", "plots_medium_confidence", "plots_flagged_red",
+    summary, folder = WR.sheet_summary(p, sheets), run_dir(spark, "summary")
+    WR.write_summary(summary, folder)
+    return spark.read.schema(summary.schema).json(folder).select("sheet_id", "total_plots", "plots_high_confidence", "plots_medium_confidence", "plots_flagged_red",
                                              F.round("total_area_sqm", 2).alias("total_area_sqm"), "inlier_ratio")
 
 

@@ -95,6 +95,22 @@ def test_profile_rasters(spark, tmp_path):
     assert got["b.png"]["width"] is None
 
 
+def test_profile_raster_headers(spark, tmp_path):
+    png(tmp_path / "a.png", 70_000, 2)
+    bmp = b"BM" + bytes(16) + struct.pack("<iiHH", 640, -480, 1, 32) + bytes(8)
+    for name, data in {"b.bmp": bmp, "c.gif": b"GIF89a" + struct.pack("<HH", 300, 200), "d.ppm": b"P6 # 9 9\n# 8 8\n12\t34\n255\n\xff\x00", "e.pgm": b"P2\n1 2\n255\n0 0",
+                       "f.png": (tmp_path / "a.png").read_bytes()[:20], "g.bmp": b"BM", "i.jpg": b"\xff\xd8\xff\xe0", "j.ppm": b"P3 0 5 255", "k.ppm": b" P3 4 5 255"}.items():
+        (tmp_path / name).write_bytes(data)
+    rows = readers.profile_raster_headers(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    got = {r["path"].split("/")[-1]: tuple(r)[1:] for r in rows}
+    none = (None, None, None)
+    assert got == {"a.png": (70_000, 2, 3), "b.bmp": (640, 480, 4), "c.gif": (300, 200, 3), "d.ppm": (12, 34, 3), "e.pgm": (1, 2, 1),
+                   "f.png": none, "g.bmp": none, "i.jpg": none, "j.ppm": none, "k.ppm": none}
+    # A scan skips empty files; rows that come without bytes some other way have no size.
+    nothing = spark.createDataFrame([("x", None), ("y", b"")], "path string, content binary")
+    assert {tuple(r) for r in readers.profile_raster_headers(nothing).collect()} == {("x", *none), ("y", *none)}
+
+
 def test_geojson_files(spark, tmp_path):
     p = readers.generate_parcels(spark.range(10).withColumnRenamed("id", "i"), "sheet").withColumn("parcel_id", F.col("i"))
     p = p.withColumns({c: F.lit("x") for c in ("khasra_no", "owner_name", "village", "tehsil", "district", "alignment_status", "ulpin")})
